@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module; each has query(spark, sf_dir) and may have ORACLE_SQL
 MODULES = {
+    "op1_packing": "packing",
+    "op2_decontamination": "decontamination",
     "op9_substring_dedup": "substring_dedup",
 }
 
