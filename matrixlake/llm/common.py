@@ -8,6 +8,7 @@ batch; only one very long text can exceed it.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +53,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now and not whenever the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     if pa.types.is_dictionary(column.type):
         column = column.dictionary_decode()

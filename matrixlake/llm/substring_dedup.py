@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import bitmap_of, hash_words, in_bitmap, materialize, slices, sliding_min, window_hashes
+from matrixlake.llm.common import bitmap_of, hash_words, in_bitmap, materialize, release, slices, sliding_min, window_hashes
 
-_CHECK = np.uint64(0xD6E8FEB86659FD93)
+#: part of a text's hash, from the hash
+_MARK = "shiftright(shiftleft(a, 32), 32)"
 
 
 def _hash(column: str) -> list:
@@ -50,15 +51,16 @@ def _windows(texts: list, length: int):
     return h, n, owner, ok, low
 
 
-def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, bool]:
     """(covered, copies): start positions of windows that also start in a document with a smaller id, by document and text;
-    and the documents that are copies of one with a smaller id."""
+    the documents that are copies of one with a smaller id; and whether different texts share an id."""
     spark = docs.sparkSession
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     a, b = _hash("text")
     hashed = base.select("doc", a.alias("a"), b.alias("b"))
     first = hashed.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     copies = hashed.join(first.where("low < high"), ["a", "b"]).where("doc > low").select("doc", "a").distinct()
+    shared_id = not hashed.groupBy("doc").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x < y").isEmpty()
     # a document whose bit is not set is surely a copy; a wrongly set bit only costs work
     firsts = spark.sparkContext.broadcast(bitmap_of(first.select(F.xxhash64("low", "a").alias("k")), "k").tobytes())
     a = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -81,37 +83,38 @@ def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id",
 
     found = rows.mapInArrow(seeds, "seed long, doc long").groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     repeated = spark.sparkContext.broadcast(bitmap_of(found.where("low < high"), "seed").tobytes())
+    del found
+    release(spark)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(repeated.value, np.uint8)
         for rows, texts in slices(batches, "text"):
             ids, texts = doc_of(rows, texts)
-            mark = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            mark = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64) if shared_id else np.zeros(len(ids), np.int64)
             h, n, owner, ok, low = _windows(texts, length)
             ok = ok[in_bitmap(bitmap, low[ok])]
             if not len(ok):
                 continue
-            full, check = window_hashes(h, length)[ok], window_hashes(h, length, _CHECK)[ok]
             at = ok - (np.cumsum(n) - n)[owner[ok]]
-            yield pa.record_batch(
-                [pa.array(full.view(np.int64)), pa.array((check >> np.uint64(33)).astype(np.int32)), pa.array(ids[owner[ok]]), pa.array((mark[owner[ok]] << 32) | at)],
-                names=["h", "c", "doc", "at"],
-            )
+            full = window_hashes(h, length)[ok]
+            yield pa.record_batch([pa.array(full.view(np.int64)), pa.array(ids[owner[ok]]), pa.array((mark[owner[ok]] << 32) | at)], names=["h", "doc", "at"])
 
-    # "at" holds the word position in its low 32 bits and part of the text's hash in the high ones
-    candidates = materialize(rows.mapInArrow(extend, "h long, c int, doc long, at long"), "windows")
-    low = candidates.groupBy("h", "c").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "c", "low")
-    covered = candidates.join(low, ["h", "c"]).where("low < doc").select("doc", F.expr("shiftright(at, 32)").alias("mark"), F.expr("cast(at & 4294967295 as int)").alias("start"))
-    return covered, copies.select("doc", F.expr("shiftright(shiftleft(a, 32), 32)").alias("mark"))
+    # "at" holds the word position in its low 32 bits and, where texts share an id, part of the text's hash in the high ones
+    candidates = materialize(rows.mapInArrow(extend, "h long, doc long, at long"), "windows")
+    low = candidates.groupBy("h").agg(F.min("doc").alias("low"))
+    covered = candidates.join(low, "h").where("low < doc").select("doc", F.expr("shiftright(at, 32)").alias("mark"), F.expr("cast(at & 4294967295 as int)").alias("start"))
+    return covered, copies.select("doc", F.expr(_MARK if shared_id else "0L").alias("mark")).distinct(), shared_id
 
 
 def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space) and ``removed`` (spans of word positions, end exclusive)."""
-    covered, copies = repeated_windows(docs, length, id_col, text_col)
+    covered, copies, shared_id = repeated_windows(docs, length, id_col, text_col)
     id_type = docs.schema[id_col].dataType
     marks = covered.groupBy("doc", "mark").agg(F.collect_list("start").alias("starts"), F.lit(False).alias("copy"))
     marks = marks.unionByName(copies.select("doc", "mark", F.expr("cast(array() as array<int>)").alias("starts"), F.lit(True).alias("copy")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"), F.expr(f"shiftright(shiftleft(xxhash64(coalesce(`{text_col}`, '')), 32), 32)").alias("mark"))
+    a = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"), (a if shared_id else F.lit(0)).alias("a"))
+    rows = rows.select("id", "text", "doc", F.expr(_MARK if shared_id else "0L").alias("mark"))
     joined = rows.join(marks, ["doc", "mark"], "left").select("id", "text", "starts", "copy")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
