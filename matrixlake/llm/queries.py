@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_packing": "packing",
     "op2_decontamination": "decontamination",
+    "op3_minhash_near_dedup": "near_dedup",
     "op9_substring_dedup": "substring_dedup",
 }
 
