@@ -9,6 +9,7 @@ MODULES = {
     "op1_packing": "packing",
     "op2_decontamination": "decontamination",
     "op3_minhash_near_dedup": "near_dedup",
+    "op4_ppm_score": "ppm",
     "op9_substring_dedup": "substring_dedup",
 }
 
