@@ -37,6 +37,7 @@ SENTENCE_PENALTY = 8
 INSIDE_PENALTY = 48
 GRID = 64
 BLOCK_TOKENS = 1 << 20
+_STOP = re.compile(rb"(?<=[a-z])[,.](?=[ \n])")
 
 
 def default_tokenizer() -> str:
@@ -63,6 +64,14 @@ class Encoder(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(vocabulary.values()) + 1, bool)
         self.stops[[i for t, i in vocabulary.items() if stop.fullmatch(t)]] = True
+        self.closes = np.zeros(len(self.stops), bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # true if a plain word is one run of tokens of which only the last closes
+        self.plain = self.closes[self.tokenizer.encode("word", add_special_tokens=False).ids[-1]] and self.tokenizer.encode("wörd wörds", add_special_tokens=False).ids == [
+            i for w in ("wörd", "WÖRDS") for i in self.tokenizer.encode(w, add_special_tokens=False).ids
+        ]
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.folds = ids("Word, Two. Ab") == ids("word , two . ab")
         self.reset()
 
     def reset(self) -> None:
@@ -71,35 +80,51 @@ class Encoder(dict):
         self.offset, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.pending: list[bytes] = []
         self[b"\n"] = 0  # never a piece; stands for the document's end
-        self._add(0, [[self.end_id]])
+        self._add(np.array([0]), np.array([self.end_id]), np.array([1]))
 
     def __missing__(self, piece: bytes) -> int:
         at = self[piece] = len(self)
         self.pending.append(piece)
         return at
 
-    def _add(self, first: int, ids: list[list[int]]) -> None:
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, last = int(n.sum()), first + len(ids)
-        while self.used + total > len(self.store):
+    def _add(self, at: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Pieces number ``at``: ``ids`` holds theirs, one after the other, ``n`` each."""
+        while self.used + len(ids) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        while last > len(self.offset):
+        while len(self) > len(self.offset):
             self.offset, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length))
-        self.store[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.offset[first:last], self.length[first:last] = self.used + np.cumsum(n) - n, n
-        self.used += total
+        self.store[self.used : self.used + len(ids)] = ids
+        self.offset[at], self.length[at] = self.used + np.cumsum(n) - n, n
+        self.used += len(ids)
+
+    def _learn(self, first: int, pieces: list[bytes]) -> None:
+        """Words of Latin letters are encoded many at a time, since a word's ids end with the one that closes it."""
+        plain, odd = [], []
+        for i, p in enumerate(pieces, first):
+            w = p.decode()
+            (plain if self.plain and w.isalpha() and (p.isascii() or max(w) < "\u0130") else odd).append((i, w))
+        groups = [" ".join([w for _, w in plain[a : a + 200]]) for a in range(0, len(plain), 200)]
+        for pairs, texts in ((plain, groups), (odd, [w for _, w in odd])):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.concatenate([np.asarray(x, np.uint32) for x in found]) if found else np.zeros(0, np.uint32)
+            n = np.diff(np.flatnonzero(self.closes[ids]) + 1, prepend=0) if pairs is plain else np.fromiter(map(len, found), np.int64, len(found))
+            self._add(np.fromiter((i for i, _ in pairs), np.int64, len(pairs)), ids, n)
+
+    def prepared(self, text: bytes) -> bytes:
+        """A text of the same ids with fewer distinct pieces: in lower case, a comma or full stop after a letter set off."""
+        return _STOP.sub(rb" \g<0>", text.lower()) if self.folds and b"<|" not in text else text
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end id, and each text's number of ids."""
         if len(self) > CACHE_WORDS:
             self.reset()
         known = len(self)
-        pieces = [[*t.split(), b"\n"] if t else [b"\n"] for t in texts]
+        pieces = [[*self.prepared(t).split(), b"\n"] if t else [b"\n"] for t in texts]
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         at = np.fromiter((i for p in pieces for i in map(self.__getitem__, p)), np.int64, int(n.sum()))
         if self.pending:
-            new, self.pending = [p.decode() for p in self.pending], []
-            self._add(known, [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+            new, self.pending = self.pending, []
+            self._learn(known, new)
         length = self.length[at]
         ends = np.cumsum(length)
         where = np.repeat(self.offset[at] - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
