@@ -10,6 +10,7 @@ MODULES = {
     "op2_decontamination": "decontamination",
     "op3_minhash_near_dedup": "near_dedup",
     "op4_ppm_score": "ppm",
+    "op5_lossless_webp": "webp_columns",
     "op9_substring_dedup": "substring_dedup",
 }
 
