@@ -8,11 +8,11 @@ batch; only one very long text can exceed it.
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +44,28 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession):
+    """Shuffle files of what is run inside are deleted when it ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back. Removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with dropping_shuffles(spark):
+        df.write.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished steps now and not whenever the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def as_bytes(column: pa.Array) -> pa.Array:
     if pa.types.is_dictionary(column.type):
         column = column.dictionary_decode()
@@ -133,7 +140,8 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 def bitmap_of(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """Bitmap over the top bits of 64-bit hashes: at most 2**bits bits reach the driver, whatever the number of keys."""
     slot = F.expr(f"shiftrightunsigned({column}, {64 - bits})")
-    rows = keys.select(slot.alias("s")).groupBy(F.expr("s div 32768").alias("b")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("m")).toPandas()
+    with dropping_shuffles(keys.sparkSession):
+        rows = keys.select(slot.alias("s")).groupBy(F.expr("s div 32768").alias("b")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("m")).toPandas()
     out = np.zeros((max(1, 1 << (bits - 15)), 4096), np.uint8)
     for b, m in zip(rows["b"], rows["m"], strict=True):
         out[int(b)] = np.frombuffer(bytes(m), np.uint8)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import hash_words, materialize, mix, release, slices, window_hashes
+from matrixlake.llm.common import hash_words, materialize, mix, slices, window_hashes
 from matrixlake.llm.graph import connected_components
 
 BANDS, ROWS = 32, 5
@@ -148,7 +148,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
-    spark = docs.sparkSession
     signed = materialize(signatures(docs, shingle, id_col, text_col), "signatures")
     named = signed.where("n > 0 and doc is not null")
     rep = named.groupBy("sa", "sb", "n").agg(F.min("doc").alias("rep"))
@@ -157,7 +156,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     lead = slot.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead")
     pairs = materialize(slot.join(lead, "band").where("rep <> lead").select(F.col("rep").alias("x"), F.col("lead").alias("y")).distinct(), "leads")
     member = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    release(spark)
     # every representative that shares a bucket, with its text
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("text is not null")
     texts = materialize(texts.join(member, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text")), "texts")
@@ -189,7 +187,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         more = materialize(confirm(near, texts, shingle, percent), "confirmed")
         if not more.isEmpty():
             links = links.unionByName(more)
-    release(spark)
     parts = connected_components(links.unionByName(equal))
     if id_col == "doc":
         signed = signed.select("doc", "n")

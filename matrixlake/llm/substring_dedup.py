@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import bitmap_of, hash_words, in_bitmap, materialize, release, slices, sliding_min, window_hashes
+from matrixlake.llm.common import bitmap_of, hash_words, in_bitmap, materialize, slices, sliding_min, window_hashes
 
 #: part of a text's hash, from the hash
 _MARK = "shiftright(shiftleft(a, 32), 32)"
@@ -83,8 +83,6 @@ def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id",
 
     found = rows.mapInArrow(seeds, "seed long, doc long").groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     repeated = spark.sparkContext.broadcast(bitmap_of(found.where("low < high"), "seed").tobytes())
-    del found
-    release(spark)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(repeated.value, np.uint8)
@@ -101,7 +99,8 @@ def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id",
 
     # "at" holds the word position in its low 32 bits and, where texts share an id, part of the text's hash in the high ones
     candidates = materialize(rows.mapInArrow(extend, "h long, doc long, at long"), "windows")
-    low = candidates.groupBy("h").agg(F.min("doc").alias("low"))
+    low = candidates.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low")
+    low = materialize(low, "repeated")  # read back, so that both sides of the join are dealt anew and a hot window can be split
     covered = candidates.join(low, "h").where("low < doc").select("doc", F.expr("shiftright(at, 32)").alias("mark"), F.expr("cast(at & 4294967295 as int)").alias("start"))
     return covered, copies.select("doc", F.expr(_MARK if shared_id else "0L").alias("mark")).distinct(), shared_id
 
@@ -110,8 +109,8 @@ def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", t
     """Per row: id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space) and ``removed`` (spans of word positions, end exclusive)."""
     covered, copies, shared_id = repeated_windows(docs, length, id_col, text_col)
     id_type = docs.schema[id_col].dataType
-    marks = covered.groupBy("doc", "mark").agg(F.collect_list("start").alias("starts"), F.lit(False).alias("copy"))
-    marks = marks.unionByName(copies.select("doc", "mark", F.expr("cast(array() as array<int>)").alias("starts"), F.lit(True).alias("copy")))
+    marks = covered.select("doc", "mark", "start", F.lit(False).alias("copy")).unionByName(copies.select("doc", "mark", F.lit(None).cast("int").alias("start"), F.lit(True).alias("copy")))
+    marks = marks.groupBy("doc", "mark").agg(F.collect_list("start").alias("starts"), F.max("copy").alias("copy"))
     a = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"), (a if shared_id else F.lit(0)).alias("a"))
     rows = rows.select("id", "text", "doc", F.expr(_MARK if shared_id else "0L").alias("mark"))
