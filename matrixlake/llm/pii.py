@@ -6,13 +6,12 @@ possessive, and a match may only begin where a run of its characters begins.
 Card numbers are matched with their bound on digits, since whole runs are.
 
 The information-theoretic step looks at the words around each mention of an
-entity (a found value). Over the whole corpus, n(e, t) counts the mentions of e
-with term t near, n(t) all occurrences of t. A term reveals e when it occurs
-near e in ``min_contexts`` different contexts at least and P(e | t) = n(e, t) /
-n(t) reaches ``disclosure``, which is that of the entity's information, log2
-1/P(e), all but log2 1/P(e | t) bits are given by the term. Terms at
-``removal`` or more are removed, others generalised. Copies of one passage are
-one context.
+entity (a found value). Over the whole corpus, n(e, t) counts the mentions of e with term t
+near, and n(t) all occurrences of t. A term leaves log2 1/P(e | t) bits of the
+entity unknown, with P(e | t) = n(e, t) / n(t). It is disclosing when it occurs
+near e in ``min_contexts`` different contexts at least and P(e | t) reaches
+``disclosure`` (one bit is left at 0.5). Terms at ``removal`` or more are removed,
+others generalised. Copies of one passage are one context.
 
 Defined results: a null or empty text has no spans; repeated rows are judged one
 by one (and their mentions counted as often); rows with a null id are base
@@ -43,6 +42,7 @@ TERM = r"\p{L}{4,}"
 REACH = 64
 NEAR = 3
 BROADCAST_TERMS = 50_000
+BROADCAST_BYTES = 48 << 20
 _SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
 
 
@@ -121,9 +121,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
       (s, x) -> if(x.end <= s.at, s, named_struct('at', x.end, 'out', concat(s.out, array(
         substring(`{text_col}`, cast(s.at as int) + 1, cast(greatest(0L, x.start - s.at) as int)), if(x.kind = 4, x.value, array({labels})[x.kind]))))),
       s -> concat(array_join(s.out, ''), substring(`{text_col}`, cast(s.at as int) + 1)))"""
+    found = materialize(found, "found")
+    bound = found.agg(F.coalesce(F.sum(F.expr("64 + 64 * size(spans)")), F.lit(0))).first()[0]
     keyed = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     found = found.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark2"), F.col("spans").alias("_spans"))
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_mark2")), "left")
+    joined = keyed.join(F.broadcast(found) if bound <= BROADCAST_BYTES else found, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_mark2")), "left")
     return joined.withColumn(text_col, F.expr(f"if(_spans is null, `{text_col}`, {rebuilt})")).select(*docs.columns)
 
 

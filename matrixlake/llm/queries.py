@@ -11,7 +11,9 @@ MODULES = {
     "op3_minhash_near_dedup": "near_dedup",
     "op4_ppm_score": "ppm",
     "op5_lossless_webp": "webp_columns",
+    "op6_language_mixture": "language_id",
     "op7_chat_snapshots": "chat_format",
+    "op8_toxicity_gbt": "toxicity",
     "op9_substring_dedup": "substring_dedup",
     "op10_pii_disclosure": "pii",
 }
