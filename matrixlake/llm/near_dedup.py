@@ -12,8 +12,8 @@ with one representative. Then
    each), then with the smallest ids of its other buckets unless they already
    belong together;
 2. buckets that still hold several components are joined with themselves across
-   components; the signature test is part of the join condition, so pairs that
-   fail it are never rows.
+   components; bounds on set sizes and a test of longer signatures are part of
+   the join condition, so pairs that fail them are never rows.
 After this every pair that shares a band and passes the signature test is either
 in one component or was refuted, so no link between candidates is lost. With 32
 bands of 5, a pair at similarity 0.8 shares none with probability 3e-6.
@@ -39,12 +39,16 @@ from matrixlake.llm.graph import connected_components
 BANDS, ROWS = 32, 5
 PERMS = BANDS * ROWS
 BITS = 2
-LONGS = PERMS * BITS // 64
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1)
-#: signatures estimate similarity with a deviation of at most 0.046; a pair is refuted when it lies 5.5 of them below
-SLACK = 0.25
+#: at similarity 0.8 a signature's estimate deviates by 0.038; a pair is refuted when it lies 4.5 of them below
+SLACK = 0.17
+#: permutations of the long signatures of documents in mixed buckets (deviation 0.015), which are refuted 5.4 below
+LONG = 1024
+LONG_SLACK = 0.08
+_LONG_XOR = _rng.integers(0, 1 << 32, LONG, dtype=np.uint32)
+_LONG_ODD = _rng.integers(0, 1 << 32, LONG, dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +66,11 @@ def shingle_sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), sizes
 
 
-def minima(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def minima(values: np.ndarray, sizes: np.ndarray, xor: np.ndarray = _XOR, odd: np.ndarray = _ODD) -> np.ndarray:
     """Minimum of each permutation over each non-empty set: one row a set."""
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     low = (values >> np.uint64(32)).astype(np.uint32) ^ values.astype(np.uint32)
-    out = np.empty((PERMS, len(starts)), np.uint32)
+    out = np.empty((len(xor), len(starts)), np.uint32)
     block = 1 << 15  # values at a time, so that they stay in the processor's cache
     firsts = [0, *(np.flatnonzero(np.diff(starts // block)) + 1).tolist(), len(starts)]
     for a, b in zip(firsts[:-1], firsts[1:], strict=True):
@@ -74,9 +78,9 @@ def minima(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             continue
         lo, hi = int(starts[a]), int(starts[b]) if b < len(starts) else len(low)
         x, at = low[lo:hi], starts[a:b] - lo
-        for p in range(PERMS):
-            y = x ^ _XOR[p]
-            y *= _ODD[p]
+        for p in range(len(xor)):
+            y = x ^ xor[p]
+            y *= odd[p]
             out[p, a:b] = np.minimum.reduceat(y, at)
     return np.ascontiguousarray(out.T)
 
@@ -90,14 +94,14 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    bits = (low & np.uint32(3)).astype(np.uint64).reshape(len(low), LONGS, 32)
+    bits = (low & np.uint32(3)).astype(np.uint64).reshape(len(low), -1, 32)
     return (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64).view(np.int64)
 
 
-def estimate(x: str, y: str) -> str:
+def estimate(x: str, y: str, perms: int = PERMS) -> str:
     """SQL: similarity of two signatures (arrays of longs), corrected for chance agreement of 1 in 4."""
-    odd = [f"bit_count((({x}[{i}] ^ {y}[{i}]) | shiftrightunsigned({x}[{i}] ^ {y}[{i}], 1)) & 6148914691236517205)" for i in range(LONGS)]
-    return f"((1 - ({' + '.join(odd)}) / {PERMS}D) - 0.25D) / 0.75D"
+    odd = [f"bit_count((({x}[{i}] ^ {y}[{i}]) | shiftrightunsigned({x}[{i}] ^ {y}[{i}], 1)) & 6148914691236517205)" for i in range(perms * BITS // 64)]
+    return f"((1 - ({' + '.join(odd)}) / {perms}D) - 0.25D) / 0.75D"
 
 
 def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -124,6 +128,19 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(sign, "doc long, n long, sa long, sb long, sig array<long>, bands array<long>")
 
 
+def long_signatures(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, sig) with many more permutations, for texts that are in mixed buckets."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in slices(batches, "text", 1 << 19):
+            values, sizes = shingle_sets(found, shingle)
+            some = pa.array(sizes > 0)
+            if sizes.any():
+                yield pa.record_batch([part.column(0).filter(some), pa.array(sizes[sizes > 0]), pa.array(list(packed(minima(values, sizes, _LONG_XOR, _LONG_ODD))), pa.list_(pa.int64()))], names=["node", "n", "sig"])
+
+    return texts.select("node", "text").mapInArrow(sign, "node long, n long, sig array<long>")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (x, y) whose full sets have 100 * intersection >= percent * union."""
     joined = pairs.join(texts.toDF("x", "tx"), "x").join(texts.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
@@ -151,20 +168,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     signed = materialize(signatures(docs, shingle, id_col, text_col), "signatures")
     named = signed.where("n > 0 and doc is not null")
     rep = named.groupBy("sa", "sb", "n").agg(F.min("doc").alias("rep"))
-    first = named.join(rep, ["sa", "sb", "n"]).where("doc = rep").select("rep", "sig", "bands")
-    slot = materialize(first.select("rep", "sig", F.explode("bands").alias("band")).distinct(), "bands")
+    first = named.join(rep, ["sa", "sb", "n"]).where("doc = rep").select("rep", "bands")
+    slot = materialize(first.select("rep", F.explode("bands").alias("band")).distinct(), "bands")
     lead = slot.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead")
     pairs = materialize(slot.join(lead, "band").where("rep <> lead").select(F.col("rep").alias("x"), F.col("lead").alias("y")).distinct(), "leads")
     member = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     # every representative that shares a bucket, with its text
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("text is not null")
     texts = materialize(texts.join(member, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text")), "texts")
-    sigs = named.join(rep, ["sa", "sb", "n"]).where("doc = rep").join(member.withColumnRenamed("node", "rep"), "rep", "left_semi").groupBy("rep").agg(F.min("sig").alias("sig"))
+    sigs = named.join(rep, ["sa", "sb", "n"]).where("doc = rep").join(member.withColumnRenamed("node", "rep"), "rep", "left_semi").groupBy("rep").agg(F.min("sig").alias("sig"), F.min("n").alias("low"), F.max("n").alias("high"))
     sigs = materialize(sigs, "sigs")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sigs.toDF("x", "sx"), "x").join(sigs.toDF("y", "sy"), "y")
-        return both.where(f"{estimate('sx', 'sy')} >= {percent / 100 - SLACK}").select("x", "y")
+        both = pairs.join(sigs.toDF("x", "sx", "lx", "hx"), "x").join(sigs.toDF("y", "sy", "ly", "hy"), "y")
+        return both.where(f"100 * hx >= {percent} * ly and 100 * hy >= {percent} * lx and {estimate('sx', 'sy')} >= {percent / 100 - SLACK}").select("x", "y")
 
     equal = rep.join(named.select("doc", "sa", "sb", "n"), ["sa", "sb", "n"]).where("doc > rep").select(F.col("doc").alias("x"), F.col("rep").alias("y"))
     # a document under several sets (rows that share an id) ties their classes together
@@ -176,14 +193,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     if not more.isEmpty():
         links = links.unionByName(more)
         parts = materialize(connected_components(links), "components")
-    tagged = slot.join(lead, "band").join(at("rep", "c"), "rep", "left").select("band", "rep", "sig", F.coalesce("c", "rep").alias("c"))
+    tagged = slot.join(lead, "band").join(at("rep", "c"), "rep", "left").select("band", "rep", F.coalesce("c", "rep").alias("c"))
     split = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "low")
     held = materialize(tagged.join(split, "band"), "split")
     if not held.isEmpty():
-        left = held.where("c <> low").select("band", F.col("rep").alias("x"), F.col("sig").alias("sx"), F.col("c").alias("cx"))
-        right = held.select("band", F.col("rep").alias("y"), F.col("sig").alias("sy"), F.col("c").alias("cy"), (F.col("c") == F.col("low")).alias("base"))
-        near = left.join(right, (left["band"] == right["band"]) & F.expr(f"cx <> cy and (base or x > y) and {estimate('sx', 'sy')} >= {percent / 100 - SLACK}"))
-        near = near.select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti")
+        wanted = held.select(F.col("rep").alias("node")).distinct()
+        sketch = materialize(long_signatures(texts.join(wanted, "node", "left_semi"), shingle), "sketches")
+        held = held.join(sketch.withColumnRenamed("node", "rep"), "rep")
+        left = held.where("c <> low").select("band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx"), F.col("c").alias("cx"))
+        right = held.select("band", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy"), F.col("c").alias("cy"), (F.col("c") == F.col("low")).alias("base"))
+        alike = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {estimate('sx', 'sy', LONG)} >= {percent / 100 - LONG_SLACK}"
+        near = left.join(right, (left["band"] == right["band"]) & F.expr(f"cx <> cy and (base or x > y) and {alike}")).select("x", "y").distinct()
         more = materialize(confirm(near, texts, shingle, percent), "confirmed")
         if not more.isEmpty():
             links = links.unionByName(more)
