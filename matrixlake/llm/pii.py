@@ -41,7 +41,6 @@ PATTERNS = {
 TERM = r"\p{L}{4,}"
 REACH = 64
 NEAR = 3
-BROADCAST_TERMS = 50_000
 BROADCAST_BYTES = 48 << 20
 _SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
 
@@ -97,12 +96,10 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.5, removal: float
     contexts = materialize(_contexts(found.where("text is not null")), "contexts")
     pairs = contexts.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("m")).groupBy("entity", "term").agg(F.sum("m").alias("both"), F.count(F.lit(1)).alias("contexts"))
     pairs = materialize(pairs.where(F.col("contexts") >= min_contexts), "pairs")
-    terms = pairs.select("term").distinct()
-    n = terms.count()
-    if n:
-        held = F.broadcast(terms) if n <= BROADCAST_TERMS else terms
+    if not pairs.isEmpty():
+        # all words are counted, then joined: what is joined follows the pairs, not the texts
         said = rows.select(F.explode(F.expr(f"regexp_extract_all(lower(text), '{TERM.replace(chr(92), chr(92) * 2)}', 0)")).alias("term"))
-        total = said.join(held, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        total = said.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         telling = pairs.join(total, "term").select("entity", "term", (F.col("both") / F.greatest("n", "both")).alias("share")).where(F.col("share") >= disclosure)
         added = contexts.join(telling, ["entity", "term"]).groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", F.when(F.col("share") >= removal, "").otherwise("[TERM]").alias("value")))).alias("more"))
         out = found.drop("text").join(added, ["doc", "mark"], "left")
