@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from matrixlake.llm.common import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link down and no link's lower end has one: then the lower ends are the components."""
+    n, nodes = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return n == nodes and edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (two columns of longs): component is the smallest node reachable.
 
-    Large-star and small-star steps alternate until the links no longer change.
+    Large-star and small-star steps alternate until the links are stars.
     A step only needs each node's smallest neighbour, an aggregate, so that a
     node with very many links is never gathered in one row; each round's links
     are written to the shared folder. Self-links keep a node; repeated links and
@@ -25,9 +27,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     alone = links.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
     edges = materialize(edges.where("u <> v"), "links")
-    before = None
-    while (now := _state(edges)) != before and now[0]:
-        before = now
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -44,9 +44,11 @@ _XOR = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1)
 #: at similarity 0.8 a signature's estimate deviates by 0.038; a pair is refuted when it lies 4.5 of them below
 SLACK = 0.17
-#: permutations of the long signatures of documents in mixed buckets (deviation 0.015), which are refuted 5.4 below
+#: permutations of the long signatures, of one bit each, of documents in mixed buckets (deviation 0.019), which are refuted 4.5 below
 LONG = 1024
-LONG_SLACK = 0.08
+LONG_SLACK = 0.085
+#: ids are broadcast up to this many
+BROADCAST_IDS = 2_000_000
 _LONG_XOR = _rng.integers(0, 1 << 32, LONG, dtype=np.uint32)
 _LONG_ODD = _rng.integers(0, 1 << 32, LONG, dtype=np.uint32) | np.uint32(1)
 
@@ -98,10 +100,15 @@ def packed(low: np.ndarray) -> np.ndarray:
     return (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64).view(np.int64)
 
 
-def estimate(x: str, y: str, perms: int = PERMS) -> str:
+def packed_one(low: np.ndarray) -> np.ndarray:
+    bits = (low & np.uint32(1)).astype(np.uint64).reshape(len(low), -1, 64)
+    return (bits << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def estimate(x: str, y: str) -> str:
     """SQL: similarity of two signatures (arrays of longs), corrected for chance agreement of 1 in 4."""
-    odd = [f"bit_count((({x}[{i}] ^ {y}[{i}]) | shiftrightunsigned({x}[{i}] ^ {y}[{i}], 1)) & 6148914691236517205)" for i in range(perms * BITS // 64)]
-    return f"((1 - ({' + '.join(odd)}) / {perms}D) - 0.25D) / 0.75D"
+    odd = [f"bit_count((({x}[{i}] ^ {y}[{i}]) | shiftrightunsigned({x}[{i}] ^ {y}[{i}], 1)) & 6148914691236517205)" for i in range(PERMS * BITS // 64)]
+    return f"((1 - ({' + '.join(odd)}) / {PERMS}D) - 0.25D) / 0.75D"
 
 
 def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -129,16 +136,16 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
 
 
 def long_signatures(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, sig) with many more permutations, for texts that are in mixed buckets."""
+    """(node, n, s0, s1, ...): one bit each of many more minima, for texts that are in mixed buckets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in slices(batches, "text", 1 << 19):
             values, sizes = shingle_sets(found, shingle)
             some = pa.array(sizes > 0)
             if sizes.any():
-                yield pa.record_batch([part.column(0).filter(some), pa.array(sizes[sizes > 0]), pa.array(list(packed(minima(values, sizes, _LONG_XOR, _LONG_ODD))), pa.list_(pa.int64()))], names=["node", "n", "sig"])
+                yield pa.record_batch([part.column(0).filter(some), pa.array(sizes[sizes > 0]), *(pa.array(c) for c in np.ascontiguousarray(packed_one(minima(values, sizes, _LONG_XOR, _LONG_ODD)).T))], names=["node", "n", *(f"s{i}" for i in range(LONG // 64))])
 
-    return texts.select("node", "text").mapInArrow(sign, "node long, n long, sig array<long>")
+    return texts.select("node", "text").mapInArrow(sign, "node long, n long, " + ", ".join(f"s{i} long" for i in range(LONG // 64)))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -168,51 +175,58 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     signed = materialize(signatures(docs, shingle, id_col, text_col), "signatures")
     named = signed.where("n > 0 and doc is not null")
     rep = named.groupBy("sa", "sb", "n").agg(F.min("doc").alias("rep"))
-    first = named.join(rep, ["sa", "sb", "n"]).where("doc = rep").select("rep", "bands")
-    slot = materialize(first.select("rep", F.explode("bands").alias("band")).distinct(), "bands")
+    reps = materialize(named.join(rep, ["sa", "sb", "n"]).where("doc = rep").select("rep", "n", "sig", "bands"), "representatives")
+    slot = reps.select("rep", F.explode("bands").alias("band"))
     lead = slot.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead")
-    pairs = materialize(slot.join(lead, "band").where("rep <> lead").select(F.col("rep").alias("x"), F.col("lead").alias("y")).distinct(), "leads")
-    member = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    # every representative that shares a bucket, with its text
+    shared = materialize(slot.join(lead, "band"), "shared")
+    pairs = materialize(shared.where("rep <> lead").select(F.col("rep").alias("x"), F.col("lead").alias("y")).distinct(), "leads")
+    member = materialize(shared.select(F.col("rep").alias("node")).distinct(), "members")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("text is not null")
-    texts = materialize(texts.join(member, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text")), "texts")
-    sigs = named.join(rep, ["sa", "sb", "n"]).where("doc = rep").join(member.withColumnRenamed("node", "rep"), "rep", "left_semi").groupBy("rep").agg(F.min("sig").alias("sig"), F.min("n").alias("low"), F.max("n").alias("high"))
-    sigs = materialize(sigs, "sigs")
+    texts = materialize(texts.join(F.broadcast(member) if member.count() <= BROADCAST_IDS else member, "node", "left_semi"), "texts")
+    sigs = reps.join(member.withColumnRenamed("node", "rep"), "rep", "left_semi").select("rep", "sig", "n")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sigs.toDF("x", "sx", "lx", "hx"), "x").join(sigs.toDF("y", "sy", "ly", "hy"), "y")
-        return both.where(f"100 * hx >= {percent} * ly and 100 * hy >= {percent} * lx and {estimate('sx', 'sy')} >= {percent / 100 - SLACK}").select("x", "y")
+        both = pairs.join(sigs.toDF("x", "sx", "nx"), "x").join(sigs.toDF("y", "sy", "ny"), "y")
+        return both.where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {estimate('sx', 'sy')} >= {percent / 100 - SLACK}").select("x", "y")
 
-    equal = rep.join(named.select("doc", "sa", "sb", "n"), ["sa", "sb", "n"]).where("doc > rep").select(F.col("doc").alias("x"), F.col("rep").alias("y"))
-    # a document under several sets (rows that share an id) ties their classes together
-    links = materialize(confirm(likely(pairs.groupBy("x").agg(F.min("y").alias("y"))), texts, shingle, percent), "confirmed")
+    first = materialize(confirm(likely(pairs.groupBy("x").agg(F.min("y").alias("y"))), texts, shingle, percent), "confirmed")
+    up = lambda c, as_name: first.select(F.col("x").alias(c), F.col("y").alias(as_name))
+    rest = pairs.join(up("x", "px"), "x", "left").join(up("y", "py"), "y", "left").where("coalesce(px, x) <> coalesce(py, y)").select("x", "y")
+    links = first.unionByName(materialize(confirm(likely(rest), texts, shingle, percent), "confirmed"))
     parts = materialize(connected_components(links), "components")
-    at = lambda c, as_name: parts.select(F.col("node").alias(c), F.col("component").alias(as_name))
-    open_ = pairs.join(at("x", "cx"), "x", "left").join(at("y", "cy"), "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
-    more = materialize(confirm(likely(open_), texts, shingle, percent), "confirmed")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        parts = materialize(connected_components(links), "components")
-    tagged = slot.join(lead, "band").join(at("rep", "c"), "rep", "left").select("band", "rep", F.coalesce("c", "rep").alias("c"))
+    tagged = shared.join(parts.toDF("rep", "c"), "rep", "left").select("band", "rep", F.coalesce("c", "rep").alias("c"))
     split = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "low")
     held = materialize(tagged.join(split, "band"), "split")
+    joined = None  # components tied together by links across them
     if not held.isEmpty():
         wanted = held.select(F.col("rep").alias("node")).distinct()
         sketch = materialize(long_signatures(texts.join(wanted, "node", "left_semi"), shingle), "sketches")
+        longs = range(LONG // 64)
         held = held.join(sketch.withColumnRenamed("node", "rep"), "rep")
-        left = held.where("c <> low").select("band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx"), F.col("c").alias("cx"))
-        right = held.select("band", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy"), F.col("c").alias("cy"), (F.col("c") == F.col("low")).alias("base"))
-        alike = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {estimate('sx', 'sy', LONG)} >= {percent / 100 - LONG_SLACK}"
+        left = held.where("c <> low").select("band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), *(F.col(f"s{i}").alias(f"x{i}") for i in longs))
+        right = held.select("band", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), (F.col("c") == F.col("low")).alias("base"), *(F.col(f"s{i}").alias(f"y{i}") for i in longs))
+        # a similarity of t leaves at most (1 - t) / 2 of the bits unequal, but for chance
+        most = int((1 - percent / 100 + LONG_SLACK) / 2 * LONG)
+        alike = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {' + '.join(f'bit_count(x{i} ^ y{i})' for i in longs)} <= {most}"
         near = left.join(right, (left["band"] == right["band"]) & F.expr(f"cx <> cy and (base or x > y) and {alike}")).select("x", "y").distinct()
         more = materialize(confirm(near, texts, shingle, percent), "confirmed")
         if not more.isEmpty():
-            links = links.unionByName(more)
-    parts = connected_components(links.unionByName(equal))
-    if id_col == "doc":
-        signed = signed.select("doc", "n")
-    out = signed.select("doc", "n").join(parts.toDF("doc", "component"), "doc", "left")
-    out = out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(docs.schema[id_col].dataType).alias("component_id"), "doc")
-    return out.select(id_col, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc"), F.lit(True)).alias("kept"))
+            of = lambda c: parts.toDF(c, f"c{c}")
+            ends = more.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b"))
+            joined = materialize(connected_components(ends), "components")
+    top = reps.select("rep").distinct().join(parts.toDF("rep", "c"), "rep", "left").select("rep", F.coalesce("c", "rep").alias("c"))
+    if joined is not None:
+        top = top.join(joined.toDF("c", "d"), "c", "left").select("rep", F.coalesce("d", "c").alias("c"))
+    rows = signed.select("doc", "n", "sa", "sb").join(rep, ["sa", "sb", "n"], "left")
+    if not named.groupBy("doc").agg(F.count_distinct("sa", "sb", "n").alias("k")).where("k > 1").isEmpty():
+        # one id with several sets ties their components together
+        tied = materialize(connected_components(rows.where("rep is not null").join(top, "rep").select(F.col("doc").alias("a"), F.col("c").alias("b")).unionByName(top.select(F.col("rep").alias("a"), F.col("c").alias("b")))), "components")
+        parts = rows.select("doc", "n").join(tied.toDF("doc", "c"), "doc", "left")
+    else:
+        parts = rows.where("doc is not null").join(top, "rep", "left").select("doc", "n", "c").unionByName(rows.where("doc is null").select("doc", "n", F.lit(None).cast("long").alias("c")))
+    kind = docs.schema[id_col].dataType
+    out = parts.select("doc", "n", F.coalesce("c", "doc").alias("c"))
+    return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("c").cast(kind).alias("component_id"), F.coalesce(F.col("c") == F.col("doc"), F.lit(True)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
