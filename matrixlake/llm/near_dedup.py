@@ -44,9 +44,9 @@ _XOR = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1)
 #: at similarity 0.8 a signature's estimate deviates by 0.038; a pair is refuted when it lies 4.5 of them below
 SLACK = 0.17
-#: permutations of the long signatures, of one bit each, of documents in mixed buckets (deviation 0.019), which are refuted 4.5 below
-LONG = 1024
-LONG_SLACK = 0.085
+#: permutations of the long signatures, of one bit each, of documents in mixed buckets (deviation 0.0133), which are refuted 4.5 below
+LONG = 2048
+LONG_SLACK = 0.06
 #: ids are broadcast up to this many
 BROADCAST_IDS = 2_000_000
 _LONG_XOR = _rng.integers(0, 1 << 32, LONG, dtype=np.uint32)
@@ -174,8 +174,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """A row per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     signed = materialize(signatures(docs, shingle, id_col, text_col), "signatures")
     named = signed.where("n > 0 and doc is not null")
-    rep = named.groupBy("sa", "sb", "n").agg(F.min("doc").alias("rep"))
-    reps = materialize(named.join(rep, ["sa", "sb", "n"]).where("doc = rep").select("rep", "n", "sig", "bands"), "representatives")
+    # only sets that several documents have; written, so that a hot one is split in the joins
+    several = named.groupBy("sa", "sb", "n").agg(F.min("doc").alias("rep"), F.max("doc").alias("high")).where("rep < high").select("sa", "sb", "n", "rep")
+    several = materialize(several, "equal-sets")
+    reps = materialize(named.join(several, ["sa", "sb", "n"], "left").where("rep is null or doc = rep").select(F.col("doc").alias("rep"), "n", "sig", "bands"), "representatives")
     slot = reps.select("rep", F.explode("bands").alias("band"))
     lead = slot.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead")
     shared = materialize(slot.join(lead, "band"), "shared")
@@ -202,12 +204,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         wanted = held.select(F.col("rep").alias("node")).distinct()
         sketch = materialize(long_signatures(texts.join(wanted, "node", "left_semi"), shingle), "sketches")
         longs = range(LONG // 64)
-        held = held.join(sketch.withColumnRenamed("node", "rep"), "rep")
-        left = held.where("c <> low").select("band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), *(F.col(f"s{i}").alias(f"x{i}") for i in longs))
-        right = held.select("band", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), (F.col("c") == F.col("low")).alias("base"), *(F.col(f"s{i}").alias(f"y{i}") for i in longs))
+        bands = reps.join(wanted.withColumnRenamed("node", "rep"), "rep", "left_semi").select("rep", "bands")
+        held = held.join(sketch.withColumnRenamed("node", "rep").join(bands, "rep"), "rep")
+        left = held.where("c <> low").select("band", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("bands").alias("bx"), *(F.col(f"s{i}").alias(f"x{i}") for i in longs))
+        right = held.select("band", F.col("band").alias("right_band"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), (F.col("c") == F.col("low")).alias("base"), F.col("bands").alias("by"), *(F.col(f"s{i}").alias(f"y{i}") for i in longs))
+        # a pair is made in the first of the buckets that it shares;
         # a similarity of t leaves at most (1 - t) / 2 of the bits unequal, but for chance
         most = int((1 - percent / 100 + LONG_SLACK) / 2 * LONG)
-        alike = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {' + '.join(f'bit_count(x{i} ^ y{i})' for i in longs)} <= {most}"
+        alike = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {' + '.join(f'bit_count(x{i} ^ y{i})' for i in longs)} <= {most} and array_min(array_intersect(bx, by)) = right_band"
         near = left.join(right, (left["band"] == right["band"]) & F.expr(f"cx <> cy and (base or x > y) and {alike}")).select("x", "y").distinct()
         more = materialize(confirm(near, texts, shingle, percent), "confirmed")
         if not more.isEmpty():
@@ -217,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     top = reps.select("rep").distinct().join(parts.toDF("rep", "c"), "rep", "left").select("rep", F.coalesce("c", "rep").alias("c"))
     if joined is not None:
         top = top.join(joined.toDF("c", "d"), "c", "left").select("rep", F.coalesce("d", "c").alias("c"))
-    rows = signed.select("doc", "n", "sa", "sb").join(rep, ["sa", "sb", "n"], "left")
+    rows = signed.select("doc", "n", "sa", "sb").join(several, ["sa", "sb", "n"], "left").select("doc", "n", "sa", "sb", F.when(F.col("n") > 0, F.coalesce("rep", "doc")).alias("rep"))
     if not named.groupBy("doc").agg(F.count_distinct("sa", "sb", "n").alias("k")).where("k > 1").isEmpty():
         # one id with several sets ties their components together
         tied = materialize(connected_components(rows.where("rep is not null").join(top, "rep").select(F.col("doc").alias("a"), F.col("c").alias("b")).unionByName(top.select(F.col("rep").alias("a"), F.col("c").alias("b")))), "components")
