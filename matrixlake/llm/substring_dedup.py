@@ -58,7 +58,7 @@ def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id",
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     a, b = _hash("text")
     hashed = base.select("doc", a.alias("a"), b.alias("b"))
-    first = hashed.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    first = materialize(hashed.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high")), "texts")
     copies = hashed.join(first.where("low < high"), ["a", "b"]).where("doc > low").select("doc", "a").distinct()
     shared_id = not hashed.groupBy("doc").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x < y").isEmpty()
     # a document whose bit is not set is surely a copy; a wrongly set bit only costs work
