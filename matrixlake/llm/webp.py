@@ -334,7 +334,7 @@ def decode(media: bytes) -> list[np.ndarray]:
             raise ValueError("not a lossless WebP file")
         size = struct.unpack_from("<I", media, at + 4)[0]
         n = struct.unpack_from("<I", media, at + 16)[0]
-        if at + 20 + n > len(media):
+        if at + 8 + size > len(media) or n + 12 > size:
             raise ValueError("the file ends too early")
         out.append(decode_stream(media[at + 20 : at + 20 + n]))
         at += 8 + size
