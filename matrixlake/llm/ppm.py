@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from matrixlake.llm.common import bucket, hash_words, materialize, slices
 
-ORDER = 4
+ORDER = 5
 BLOCK_RUNS = 6_000_000
 BLOCK_WORDS = 12_000_000
 MEMO_BITS = 21
