@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import CACHE_WORDS, slices
+from matrixlake.llm.common import slices
 
 SIZE = 4096
 END_ID = 2
@@ -37,6 +37,8 @@ SENTENCE_PENALTY = 8
 INSIDE_PENALTY = 48
 GRID = 64
 BLOCK_TOKENS = 1 << 20
+#: distinct pieces of text whose ids a worker keeps, about 200 bytes each
+CACHE_PIECES = 800_000
 _STOP = re.compile(rb"(?<=[a-z])[,.](?=[ \n])")
 
 
@@ -116,7 +118,7 @@ class Encoder(dict):
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end id, and each text's number of ids."""
-        if len(self) > CACHE_WORDS:
+        if len(self) > CACHE_PIECES:
             self.reset()
         known = len(self)
         pieces = [[*self.prepared(t).split(), b"\n"] if t else [b"\n"] for t in texts]
