@@ -56,8 +56,8 @@ def presence(vocab: DataFrame, dataset: str = "dataset_index", feature: str = "f
     """(feature, global_id, dataset, measured) for every pair: an unmeasured zero is told from a measured one."""
     features, datasets = vocab.select("global_id", feature).distinct(), vocab.select(dataset).distinct()
     has = vocab.select("global_id", dataset).distinct().withColumn("measured", F.lit(True))
-    # datasets are few: the pair table is features by datasets, as asked for
-    return features.join(F.broadcast(datasets)).join(has, ["global_id", dataset], "left").withColumn("measured", F.coalesce("measured", F.lit(False)))
+    # features by datasets is the result asked for
+    return features.crossJoin(datasets).join(has, ["global_id", dataset], "left").withColumn("measured", F.coalesce("measured", F.lit(False)))
 
 
 def uniform_probability(vocab: DataFrame, dataset: str = "dataset_index") -> DataFrame:

@@ -64,9 +64,10 @@ def dense(requested: DataFrame, values: DataFrame, axis: DataFrame, present: Dat
     ``requested``: (pos, id, dataset_index); ``values``: (id, global_id, value);
     ``axis``: (output_index, global_id); ``present``: (dataset_index, global_id).
     """
-    grid = requested.select("pos", "id", "dataset_index").join(F.broadcast(axis.select("output_index", "global_id")))
+    # rows asked for by features: the dense form itself
+    grid = requested.select("pos", "id", "dataset_index").crossJoin(axis.select("output_index", "global_id"))
     v = values.select("id", "global_id", F.col("value").cast("float").alias("value"))
-    full = grid.join(v, ["id", "global_id"], "left").join(F.broadcast(present.select("dataset_index", "global_id").distinct().withColumn("m", F.lit(True))), ["dataset_index", "global_id"], "left")
+    full = grid.join(v, ["id", "global_id"], "left").join(present.select("dataset_index", "global_id").distinct().withColumn("m", F.lit(True)), ["dataset_index", "global_id"], "left")
     items = F.array_sort(F.collect_list(F.struct("output_index", F.coalesce("value", F.lit(0.0).cast("float")).alias("c"), F.coalesce("m", F.lit(False)).alias("m"))))
     return full.groupBy("pos", "id").agg(items.alias("x")).select("pos", "id", F.col("x.c").alias("counts"), F.col("x.m").alias("measured"))
 

@@ -149,5 +149,5 @@ def write_order(groups: Groups, seed: int = 0, keep: DataFrame | None = None) ->
     stop = F.sum("n_cells").over(Window.orderBy(*(F.asc_nulls_first(c) for c in groups.by)).rowsBetween(Window.unboundedPreceding, 0))
     blocks = table.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("n_cells"))
     rank = F.row_number().over(Window.partitionBy("group").orderBy(order(seed, F.col("row")), "row"))
-    placed = rows.withColumn("_k", rank).join(F.broadcast(blocks.select("group", "start")), "group")
+    placed = rows.withColumn("_k", rank).join(blocks.select("group", "start"), "group")
     return placed.select("row", (F.col("start") + F.col("_k") - 1).alias("new_row"), "group"), blocks

@@ -16,6 +16,40 @@ from matrixlake.operators.groups import Groups, drop_small
 LINKS = ("none", "random", "self", "table")
 
 
+def pick(cells: DataFrame, weights: DataFrame, keys: list[str], items: list[str], weight: str, u: Column) -> DataFrame:
+    """``cells`` with one row of ``weights`` (keys, items, weight) each, drawn by weight among those of its keys.
+
+    Intervals of the running weight are joined by slots of equal width, as many as
+    there are intervals, so the work follows the cells and not cells by intervals.
+    """
+    span = Window.partitionBy(*keys)
+    w = weights.select(*keys, *items, F.col(weight).cast("double").alias("_w")).where("_w > 0")
+    w = w.withColumn("_hi", F.sum("_w").over(span.orderBy(*items).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_w").over(span)).withColumn("_n", F.count(F.lit(1)).over(span))
+    w = w.withColumn("_lo", F.col("_hi") - F.col("_w"))
+    size = w.groupBy(*keys).agg(F.first("_total").alias("_total"), F.first("_n").alias("_n"))
+    # a slot more on either side than the bounds say, against rounding
+    slots = F.sequence(F.greatest(F.lit(0), F.floor(F.col("_lo") * F.col("_n") / F.col("_total")) - 1), F.floor(F.col("_hi") * F.col("_n") / F.col("_total")) + 1)
+    bins = w.select(*keys, *items, "_lo", "_hi", F.explode(slots).alias("_slot"))
+    sized = cells.join(size, keys) if keys else cells.join(F.broadcast(size))  # without keys that is one row
+    at = sized.withColumn("_at", u * F.col("_total")).withColumn("_slot", F.floor(u * F.col("_n")))
+    return at.join(bins, [*keys, "_slot"]).where("_lo <= _at and _at < _hi").drop("_lo", "_hi", "_at", "_slot", "_total", "_n")
+
+
+def distinct_ranks(n: int | Column, size: Column, u) -> Column:
+    """Array of min(n, size) distinct numbers below ``size``, in order of drawing; ``u``: from a number's Column to its draw.
+
+    Each draw is among what is left, counted past the numbers drawn before.
+    """
+    many = F.least(F.lit(n) if isinstance(n, int) else n, size)
+    steps = F.when(many > 0, F.sequence(F.lit(0).cast("long"), many.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def draw(done: Column, j: Column) -> Column:
+        left = F.floor(u(j) * (size - j)).cast("long")
+        return F.array_append(done, F.aggregate(F.array_sort(done), left, lambda x, c: F.when(c <= x, x + 1).otherwise(x)))
+
+    return F.aggregate(steps, F.array().cast("array<bigint>"), draw)
+
+
 def bundles(pairs: DataFrame, bundle_by: list[str] | None = None, weight: str | None = None, order_by: tuple[str, ...] = ("source_group", "target_group")) -> DataFrame:
     """``pairs`` with ``pair_no``, ``bundle`` (numbered by first appearance) and ``bundle_weight``."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -58,36 +92,49 @@ class Sampler:
         if not self.pairs.where("link = 'self' and source_group <> target_group").isEmpty():
             raise ValueError("self links need the same group on both sides")
         self.link_table, self.run_length = link_table, run_length
-        self.cdf = cdf(self.pairs)
 
     def draw_bundles(self, samples: DataFrame, seed: int = 0) -> DataFrame:
         """``samples`` (sample) with a bundle each, by weight, with replacement."""
-        c = F.broadcast(self.cdf.select("bundle", "lo", "hi", "total"))
-        at = uniform(seed, F.col("sample"), "bundle") * F.col("total")
-        return samples.join(c, (F.col("lo") <= at) & (at < F.col("hi"))).select("sample", "bundle")
+        w = self.pairs.select("bundle", "bundle_weight").distinct()
+        return pick(samples, w, [], ["bundle"], "bundle_weight", uniform(seed, F.col("sample"), "bundle")).select("sample", "bundle")
 
     def cells_of(self, drawn: DataFrame, seed: int) -> DataFrame:
         """(sample, side, group, ord, row): for each side and group of the drawn bundles, cells without replacement, drawn once."""
-        pairs = drawn.join(F.broadcast(self.pairs.select("bundle", "source_group", "target_group")), "bundle")
+        pairs = drawn.join(self.pairs.select("bundle", "source_group", "target_group"), "bundle")
         sides = pairs.select("sample", F.lit("source").alias("side"), F.col("source_group").alias("group")).union(pairs.select("sample", F.lit("target"), "target_group")).distinct()
-        members = self.groups.members().join(self.groups.table.select("group", "n_cells"), "group")
-        all_ = sides.join(members, "group")
-        if self.run_length > 1:
-            off = F.floor(uniform(seed, F.col("sample"), F.col("side"), F.col("group"), "off") * F.col("n_cells"))
-            all_ = all_.withColumn("_pos", F.pmod(F.col("k") - off, F.col("n_cells"))).withColumn("_run", F.floor(F.col("_pos") / self.run_length))
-            keys = [order(seed, F.col("sample"), F.col("side"), F.col("group"), F.col("_run")), F.col("_pos")]
+        sides = sides.join(self.groups.table.select("group", F.col("n_cells").cast("long").alias("n_cells")), "group")
+        out = None
+        for side, n in self.n.items():
+            mine = sides.where(F.col("side") == side)
+            got = self._all(mine, seed) if n == "all" else self._some(mine, n, seed)
+            out = got if out is None else out.unionByName(got)
+        return out
+
+    def _all(self, sides: DataFrame, seed: int) -> DataFrame:
+        """Whole groups, shuffled."""
+        key = order(seed, F.col("sample"), F.col("side"), F.col("group"), F.col("row"))
+        rank = F.row_number().over(Window.partitionBy("sample", "side", "group").orderBy(key, "row")) - 1
+        return sides.join(self.groups.rows, "group").withColumn("ord", rank).select("sample", "side", "group", "ord", "row")
+
+    def _some(self, sides: DataFrame, n: int, seed: int) -> DataFrame:
+        """n cells of each group: ranks are drawn in an array, then looked up, so nothing grows with the groups' sizes."""
+        size, r = F.col("n_cells"), self.run_length
+        u = lambda j: uniform(seed, F.col("sample"), F.col("side"), F.col("group"), j)
+        if r > 1:  # runs of neighbours after a turn of the group by a random offset; one run may be short
+            off = F.floor(uniform(seed, F.col("sample"), F.col("side"), F.col("group"), "off") * size).cast("long")
+            runs = distinct_ranks(-(-n // r) + 1, F.ceil(size / r).cast("long"), u)
+            ranks = F.slice(F.flatten(F.transform(runs, lambda x: F.sequence(x * r, F.least(x * r + r, size) - 1))), 1, n)
+            ranks = F.transform(ranks, lambda x: F.pmod(x + off, size))
         else:
-            keys = [order(seed, F.col("sample"), F.col("side"), F.col("group"), F.col("row")), F.col("row")]
-        rank = F.row_number().over(Window.partitionBy("sample", "side", "group").orderBy(*keys))
-        out = all_.withColumn("ord", rank - 1)
-        limit = F.when(F.col("side") == "source", F.lit(2**31 if self.n["source"] == "all" else self.n["source"])).otherwise(F.lit(2**31 if self.n["target"] == "all" else self.n["target"]))
-        return out.where(F.col("ord") < limit).select("sample", "side", "group", "ord", "row")
+            ranks = distinct_ranks(n, size, u)
+        drawn = sides.select("sample", "side", "group", F.posexplode(ranks).alias("ord", "k"))
+        return drawn.join(self.groups.members().select("group", F.col("k").cast("long").alias("k"), "row"), ["group", "k"]).select("sample", "side", "group", "ord", "row")
 
     def sample(self, samples: DataFrame, seed: int = 0) -> DataFrame:
         """(sample, bundle, pair_no, side, ord, row) for a table of sample numbers; cells of a group are shared by the bundle's pairs."""
         drawn = self.draw_bundles(samples, seed)
         cells = self.cells_of(drawn, seed)
-        pairs = drawn.join(F.broadcast(self.pairs.select("bundle", "pair_no", "source_group", "target_group")), "bundle")
+        pairs = drawn.join(self.pairs.select("bundle", "pair_no", "source_group", "target_group"), "bundle")
         sides = pairs.select("sample", "bundle", "pair_no", F.lit("source").alias("side"), F.col("source_group").alias("group")).union(pairs.select("sample", "bundle", "pair_no", F.lit("target"), "target_group"))
         return sides.join(cells, ["sample", "side", "group"]).select("sample", "bundle", "pair_no", "side", "group", "ord", "row")
 
@@ -98,8 +145,8 @@ class Sampler:
     def partners(self, cells: DataFrame, seed: int = 0, cover: str = "source") -> DataFrame:
         """``cells`` (key, row, pair_no) with ``partner``: a cell of the pair's other group, the cell itself, or a linked one by weight; unlinked cells go."""
         other = "target" if cover == "source" else "source"
-        p = F.broadcast(self.pairs.select("pair_no", "link", F.col(f"{other}_group").alias("group")))
-        sizes = F.broadcast(self.groups.table.select("group", "n_cells"))
+        p = self.pairs.select("pair_no", "link", F.col(f"{other}_group").alias("group"))
+        sizes = self.groups.table.select("group", "n_cells")
         at = cells.join(p, "pair_no").join(sizes, "group").withColumn("k", F.floor(uniform(seed, F.col("key"), "partner") * F.col("n_cells")))
         member = self.groups.members().select("group", "k", F.col("row").alias("_random"))
         out = at.join(member, ["group", "k"], "left")
@@ -124,12 +171,8 @@ class Sampler:
         A cell's pair is drawn among its group's pairs by weight; the order of the
         epoch is that of ``ord_key``.
         """
-        g = f"{cover}_group"
-        w = self.pairs.select("pair_no", F.col(g).alias("group"), F.col("bundle_weight").alias("w")).where("w > 0")
-        span = Window.partitionBy("group")
-        w = w.withColumn("hi", F.sum("w").over(span.orderBy("pair_no").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(span))
-        at = uniform(seed, epoch, F.col("row"), "pair") * F.col("total")
-        cells = self.groups.rows.join(F.broadcast(w), "group").where((at < F.col("hi")) & (at >= F.col("hi") - F.col("w")))
+        w = self.pairs.select("pair_no", F.col(f"{cover}_group").alias("group"), F.col("bundle_weight").alias("w"))
+        cells = pick(self.groups.rows, w, ["group"], ["pair_no"], "w", uniform(seed, epoch, F.col("row"), "pair"))
         cells = cells.select(F.concat(F.lit(f"{epoch}:"), "row").alias("key"), "row", "pair_no")
         got = self.partners(cells, seed, cover)
         mine, theirs = ("source_row", "target_row") if cover == "source" else ("target_row", "source_row")
@@ -139,16 +182,13 @@ class Sampler:
         """(group, chunk, ord, row, bundle): each covered group cut into sets of n cells, each set with a bundle that has the group."""
         n = self.n[cover]
         chunked = epoch_chunks(self.groups, self.pairs.select(F.col(f"{cover}_group").alias("group")).distinct(), n, seed, epoch, drop_last)
-        w = self.pairs.groupBy(F.col(f"{cover}_group").alias("group"), "bundle").agg(F.first("bundle_weight").alias("w")).where("w > 0")
-        span = Window.partitionBy("group")
-        w = w.withColumn("hi", F.sum("w").over(span.orderBy("bundle").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(span))
-        at = uniform(seed, epoch, F.col("group"), F.col("chunk"), "bundle") * F.col("total")
-        return chunked.join(F.broadcast(w), "group").where((at < F.col("hi")) & (at >= F.col("hi") - F.col("w"))).select("group", "chunk", "ord", "row", "bundle")
+        w = self.pairs.groupBy(F.col(f"{cover}_group").alias("group"), "bundle").agg(F.first("bundle_weight").alias("w"))
+        return pick(chunked, w, ["group"], ["bundle"], "w", uniform(seed, epoch, F.col("group"), F.col("chunk"), "bundle")).select("group", "chunk", "ord", "row", "bundle")
 
 
 def epoch_chunks(groups: Groups, covered: DataFrame, n: int | str, seed: int = 0, epoch: int = 0, drop_last: bool = False) -> DataFrame:
     """(group, chunk, ord, row): shuffled cells of each covered group in sets of n; the last may be short."""
-    rows = groups.rows.join(F.broadcast(covered), "group", "left_semi")
+    rows = groups.rows.join(covered, "group", "left_semi")
     rank = F.row_number().over(Window.partitionBy("group").orderBy(order(seed, epoch, F.col("row")), "row")) - 1
     size = F.lit(2**31 if n == "all" else n)
     out = rows.withColumn("_r", rank).withColumn("chunk", F.floor(F.col("_r") / size)).withColumn("ord", F.pmod("_r", size))

@@ -109,7 +109,7 @@ def convert_files(files: DataFrame, cells: DataFrame, file_features: DataFrame,
         if rows := bad.limit(3).collect():
             raise V.FeatureError(f"features of files {[r['file_id'] for r in rows]} are not the wanted ones")
         to = matched.select("file_id", F.col("origin_index").alias("gene"), "_new")
-        return files.join(F.broadcast(to), ["file_id", "gene"]).join(place, ["file_id", "row"]).select(F.col("_to").cast("long").alias("row"), F.col("_new").cast("int").alias("gene"), "value")
+        return files.join(to, ["file_id", "gene"]).join(place, ["file_id", "row"]).select(F.col("_to").cast("long").alias("row"), F.col("_new").cast("int").alias("gene"), "value")
 
     extra = {"guides": (part("CRISPR Guide Capture", guides, True), guides)} if guides is not None else None
     obs = cells.withColumn("local_row_index", F.col("local_row_index").cast("long"))

@@ -242,8 +242,24 @@ def _draw(seed: int, n: int) -> str:
 
 
 def _cells(seed: int, n: int) -> str:
+    """Distinct ranks, each drawn among what is left and counted past those drawn before."""
+    u = u_sql(f"'{seed}:' || sample || ':' || side || ':' || grp || ':' || j")
     return f"""sides AS (SELECT DISTINCT sample, 'source' AS side, source_group AS grp FROM dr UNION SELECT DISTINCT sample, 'target', target_group FROM dr),
-got AS (SELECT sample, side, grp, r, row_number() OVER (PARTITION BY sample, side, grp ORDER BY md5('{seed}:' || sample || ':' || side || ':' || grp || ':' || r), r) - 1 AS ord FROM sides JOIN mem USING (grp) QUALIFY ord < {n})"""
+picked AS (SELECT sample, side, grp, n, CAST(0 AS BIGINT) AS j, CAST([] AS BIGINT[]) AS done FROM sides JOIN g USING (grp)
+  UNION ALL SELECT sample, side, grp, n, j + 1, list_append(done, list_reduce(list_prepend(CAST(floor({u} * (n - j)) AS BIGINT), list_sort(done)), lambda x, c: CASE WHEN c <= x THEN x + 1 ELSE x END)) FROM picked WHERE j < least({n}, n)),
+got AS (SELECT p.sample, p.side, p.grp, mem.r, i - 1 AS ord FROM (SELECT *, unnest(range(1, len(done) + 1)) AS i FROM picked WHERE j = least({n}, n)) p JOIN mem ON mem.grp = p.grp AND mem.k = p.done[i])"""
+
+
+def _runs(seed: int, n: int, r: int) -> str:
+    at = u_sql(f"'{seed}:' || sample || ':' || side || ':' || grp || ':' || j")
+    off = u_sql(f"'{seed}:' || p.sample || ':' || p.side || ':' || p.grp || ':off'")
+    m = -(-n // r) + 1
+    return f"""sides AS (SELECT DISTINCT sample, 'source' AS side, source_group AS grp FROM dr UNION SELECT DISTINCT sample, 'target', target_group FROM dr),
+picked AS (SELECT sample, side, grp, n, (n + {r - 1}) // {r} AS q, CAST(0 AS BIGINT) AS j, CAST([] AS BIGINT[]) AS done FROM sides JOIN g USING (grp)
+  UNION ALL SELECT sample, side, grp, n, q, j + 1, list_append(done, list_reduce(list_prepend(CAST(floor({at} * (q - j)) AS BIGINT), list_sort(done)), lambda x, c: CASE WHEN c <= x THEN x + 1 ELSE x END)) FROM picked WHERE j < least({m}, q)),
+posed AS (SELECT sample, side, grp, n, i, done[i] * {r} + o AS pos, o FROM (SELECT *, unnest(range(1, len(done) + 1)) AS i FROM picked WHERE j = least({m}, q)), (SELECT unnest(range({r})) AS o)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY sample, side, grp ORDER BY i, o) - 1 AS ord FROM posed WHERE pos < n),
+got AS (SELECT p.sample, p.side, p.grp, mem.r, p.ord FROM kept p JOIN mem ON mem.grp = p.grp AND mem.k = (p.pos + CAST(floor({off} * p.n) AS BIGINT)) % p.n WHERE p.ord < {n})"""
 
 
 _SIDES = "SELECT {cols}, g2.side, g2.grp AS \"group\", CAST(g2.ord AS INTEGER) AS ord, g2.r AS row FROM (SELECT dr.*, 'source' AS side, source_group AS grp FROM dr UNION ALL SELECT dr.*, 'target', target_group FROM dr) p JOIN got g2 ON g2.sample = p.sample AND g2.side = p.side AND g2.grp = p.grp"
@@ -295,21 +311,19 @@ QUERIES = {
         bundle_weights_cdf,
         f"WITH {_G2}, {_W}, b AS (SELECT target_group, sum(w) AS bw, row_number() OVER (ORDER BY min(pair_no)) - 1 AS bundle FROM pw GROUP BY 1), c AS (SELECT *, sum(bw) OVER (ORDER BY bundle) AS hi FROM b) SELECT source_group, target_group, CAST(pair_no AS INTEGER) AS pair_no, CAST(bundle AS INTEGER) AS bundle, CAST(bw AS DOUBLE) AS bundle_weight, CAST(hi - bw AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM pw JOIN c USING (target_group)",
     ),
-    "sample_step_weighted": (sample_step_weighted, f"WITH {_G2}, {_W}, {_CDF}, {_draw(11, 40)}, {_cells(11, 3)} " + _SIDES.format(cols="p.sample, CAST(pair_no AS INTEGER) AS pair_no")),
+    "sample_step_weighted": (sample_step_weighted, f"WITH RECURSIVE {_G2}, {_W}, {_CDF}, {_draw(11, 40)}, {_cells(11, 3)} " + _SIDES.format(cols="p.sample, CAST(pair_no AS INTEGER) AS pair_no")),
     "sample_batch_single": (
         sample_batch_single,
-        f"WITH {_G2}, {_W}, {_CDF}, {_draw(11, 700)}, {_cells(11, 1)} SELECT d.sample, CAST(d.pair_no AS INTEGER) AS pair_no, a.r AS source_row, b.r AS target_row FROM dr d JOIN got a ON a.sample = d.sample AND a.side = 'source' JOIN got b ON b.sample = d.sample AND b.side = 'target'",
+        f"WITH RECURSIVE {_G2}, {_W}, {_CDF}, {_draw(11, 700)}, {_cells(11, 1)} SELECT d.sample, CAST(d.pair_no AS INTEGER) AS pair_no, a.r AS source_row, b.r AS target_row FROM dr d JOIN got a ON a.sample = d.sample AND a.side = 'source' JOIN got b ON b.sample = d.sample AND b.side = 'target'",
     ),
     "sample_bundle_shared": (
         sample_bundle_shared,
-        f"WITH {_G2}, {_W}, b AS (SELECT target_group, sum(w) AS w, row_number() OVER (ORDER BY min(pair_no)) - 1 AS pair_no FROM pw GROUP BY 1), cdf AS (SELECT target_group AS tg, pair_no AS bundle, sum(w) OVER (ORDER BY pair_no) AS hi, sum(w) OVER (ORDER BY pair_no) - w AS lo, sum(w) OVER () AS total FROM b), sm AS (SELECT '5:' || i AS sample FROM (SELECT unnest(range(20)) AS i)), "
+        f"WITH RECURSIVE {_G2}, {_W}, b AS (SELECT target_group, sum(w) AS w, row_number() OVER (ORDER BY min(pair_no)) - 1 AS pair_no FROM pw GROUP BY 1), cdf AS (SELECT target_group AS tg, pair_no AS bundle, sum(w) OVER (ORDER BY pair_no) AS hi, sum(w) OVER (ORDER BY pair_no) - w AS lo, sum(w) OVER () AS total FROM b), sm AS (SELECT '5:' || i AS sample FROM (SELECT unnest(range(20)) AS i)), "
         f"d0 AS (SELECT sample, tg, bundle FROM sm JOIN cdf ON {u_sql(chr(39) + '3:' + chr(39) + ' || sample || ' + chr(39) + ':bundle' + chr(39))} * total >= lo AND {u_sql(chr(39) + '3:' + chr(39) + ' || sample || ' + chr(39) + ':bundle' + chr(39))} * total < hi), dr AS (SELECT sample, bundle, pw.* FROM d0 JOIN pw ON pw.target_group = tg), {_cells(3, 2)} " + _SIDES.format(cols="p.sample, CAST(p.bundle AS INTEGER) AS bundle, CAST(p.pair_no AS INTEGER) AS pair_no"),
     ),
     "runs_draw": (
         runs_draw,
-        f"WITH {_G2}, {_W}, {_CDF}, {_draw(2, 15)}, sides AS (SELECT DISTINCT sample, 'source' AS side, source_group AS grp FROM dr UNION SELECT DISTINCT sample, 'target', target_group FROM dr), "
-        f"m2 AS (SELECT sample, side, grp, r, (k - CAST(floor({u_sql(chr(39) + '2:' + chr(39) + ' || sample || ' + chr(39) + ':' + chr(39) + ' || side || ' + chr(39) + ':' + chr(39) + ' || grp || ' + chr(39) + ':off' + chr(39))} * n) AS BIGINT) + n) % n AS pos FROM sides JOIN mem USING (grp)), "
-        "got AS (SELECT sample, side, grp, r, row_number() OVER (PARTITION BY sample, side, grp ORDER BY md5('2:' || sample || ':' || side || ':' || grp || ':' || CAST(floor(pos / 4) AS BIGINT)), pos) - 1 AS ord FROM m2 QUALIFY ord < 6) " + _SIDES.format(cols="p.sample, CAST(pair_no AS INTEGER) AS pair_no"),
+        f"WITH RECURSIVE {_G2}, {_W}, {_CDF}, {_draw(2, 15)}, {_runs(2, 6, 4)} " + _SIDES.format(cols="p.sample, CAST(pair_no AS INTEGER) AS pair_no"),
     ),
     "epoch_cover_source": (
         epoch_cover_source,
