@@ -8,10 +8,12 @@ batch; only one very long text can exceed it.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -21,11 +23,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 BITMAP_BITS = 27
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cached_by(owner: str, drop: Callable[[], None]) -> None:
+    """Name a cache that a worker keeps between tasks, and how to drop it."""
+    _caches[owner] = drop
+
+
+def task(owner: str):
+    """For functions over batches: caches of other owners go before the work, freed memory goes back after it.
+
+    Workers are used again by later stages; what one stage keeps must not add to
+    what the next one needs.
+    """
+
+    def wrap(work):
+        @functools.wraps(work)
+        def run(batches):
+            _claim(owner)
+            try:
+                yield from work(batches)
+            finally:
+                _trim()
+
+        return run
+
+    return wrap
+
+
+def _claim(owner: str) -> None:
+    for name, drop in _caches.items():
+        if name != owner:
+            drop()
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,6 +143,7 @@ class WordHash(dict):
 
 
 _words = WordHash()
+cached_by("words", _words.clear)
 
 
 def hash_words(texts: list, lower: bool) -> tuple[np.ndarray, np.ndarray]:

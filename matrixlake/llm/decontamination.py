@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import slices
+from matrixlake.llm.common import slices, task
 
 LENGTH = 13
 SHINGLE = 3
@@ -152,6 +152,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENG
     for index in _indexes(benchmark, item_col, item_text_col, length, block_bytes):
         sent = spark.sparkContext.broadcast(index)
 
+        @task("decontamination")
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, total = sent.value, {k: np.zeros(len(v), np.int64) for k, v in sent.value.shingles.items()}
             for _, part in slices(batches, "text"):
@@ -174,6 +175,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENG
         ready = spark.sparkContext.broadcast(index)
         names = out.columns
 
+        @task("decontamination")
         def match(batches: Iterator[pa.RecordBatch], ready=ready, names=names) -> Iterator[pa.RecordBatch]:
             index = ready.value
             for rows, part in slices(batches, text_col):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import bucket, slices
+from matrixlake.llm.common import bucket, slices, task
 
 PLACES = 1 << 18
 ALPHA = 0.5
@@ -46,6 +46,7 @@ def _places(data: np.ndarray) -> np.ndarray:
 def count_trigrams(rows: DataFrame) -> DataFrame:
     """(lang, place, n) from columns ``text`` and ``lang``."""
 
+    @task("language")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for part, texts in slices(batches, "text"):
@@ -81,7 +82,7 @@ class Model:
         self.reset()
 
     def reset(self) -> None:
-        self.limit = max(20_000, (64 << 20) // (4 * max(1, len(self.languages))) if len(self.languages) > 40 else 400_000)
+        self.limit = max(20_000, (64 << 20) // (4 * max(1, len(self.languages))) if len(self.languages) > 40 else 250_000)
         self.index, self.known = _Index(), np.zeros((0, len(self.languages)), np.float32)
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -166,6 +167,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     id_type = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @task("language")
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         names = model.languages

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import hash_words, materialize, mix, slices, window_hashes
+from matrixlake.llm.common import hash_words, materialize, mix, slices, task, window_hashes
 from matrixlake.llm.graph import connected_components
 
 BANDS, ROWS = 32, 5
@@ -115,6 +115,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
     """(doc, n, sa, sb, sig, bands) for every row; sa and sb name the set."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
+    @task("words")
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             values, sizes = shingle_sets(texts, shingle)
@@ -138,6 +139,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
 def long_signatures(texts: DataFrame, shingle: int) -> DataFrame:
     """(node, n, s0, s1, ...): one bit each of many more minima, for texts that are in mixed buckets."""
 
+    @task("words")
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in slices(batches, "text", 1 << 19):
             values, sizes = shingle_sets(found, shingle)
@@ -152,6 +154,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     """The pairs (x, y) whose full sets have 100 * intersection >= percent * union."""
     joined = pairs.join(texts.toDF("x", "tx"), "x").join(texts.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
 
+    @task("words")
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
         for part, tx in slices(batches, "tx"):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import slices
+from matrixlake.llm.common import cached_by, slices, task
 
 SIZE = 4096
 END_ID = 2
@@ -38,7 +38,7 @@ INSIDE_PENALTY = 48
 GRID = 64
 BLOCK_TOKENS = 1 << 20
 #: distinct pieces of text whose ids a worker keeps, about 200 bytes each
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 _STOP = re.compile(rb"(?<=[a-z])[,.](?=[ \n])")
 
 
@@ -135,6 +135,7 @@ class Encoder(dict):
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
+cached_by("packing", _encoders.clear)
 
 
 def encoder(path: str, end_id: int) -> Encoder:
@@ -212,6 +213,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
     path = tokenizer or default_tokenizer()
     id_type = docs.schema[id_col].dataType
 
+    @task("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
         context = TaskContext.get()

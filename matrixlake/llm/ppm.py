@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import bucket, hash_words, materialize, slices
+from matrixlake.llm.common import bucket, hash_words, materialize, slices, task
 
 ORDER = 5
 BLOCK_RUNS = 6_000_000
@@ -192,6 +192,7 @@ def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 def train(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(kind, key, n): counts of runs (kind 0) and of words and ends (kind 1) in a text column named ``text``."""
 
+    @task("words")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathers = Gather(), Gather()
 
@@ -256,6 +257,7 @@ def ppm_score(docs: DataFrame, training: F.Column, order: int = ORDER, id_col: s
             mine |= ~np.isin(np.arange(256), [b for x in blocks for b in x])
         tokens = k == 0
 
+        @task("words")
         def score(batches: Iterator[pa.RecordBatch], sent=sent, mine=mine, tokens=tokens, whole=bool(mine.all()), last=k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
             trie = Trie(*sent.value, order)
             price = Memo(trie.price)
@@ -303,6 +305,7 @@ def _joined_base(out: DataFrame, words: DataFrame, n_tokens: int, n_words: int)
     a = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = out.select(a.alias("a"), "text").groupBy("a").agg(F.max("text").alias("text"))
 
+    @task("words")
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             h, n = hash_words(texts, lower=True)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import bitmap_of, hash_words, in_bitmap, materialize, slices, sliding_min, window_hashes
+from matrixlake.llm.common import bitmap_of, hash_words, in_bitmap, materialize, slices, sliding_min, task, window_hashes
 
 #: part of a text's hash, from the hash
 _MARK = "shiftright(shiftleft(a, 32), 32)"
@@ -72,6 +72,7 @@ def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id",
         keep = in_bitmap(np.frombuffer(firsts.value, np.uint8), k).tolist()
         return ids, [t if x else b"" for t, x in zip(texts, keep, strict=True)]
 
+    @task("words")
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, "text"):
             ids, texts = doc_of(rows, texts)
@@ -84,6 +85,7 @@ def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id",
     found = rows.mapInArrow(seeds, "seed long, doc long").groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     repeated = spark.sparkContext.broadcast(bitmap_of(found.where("low < high"), "seed").tobytes())
 
+    @task("words")
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(repeated.value, np.uint8)
         for rows, texts in slices(batches, "text"):
@@ -116,6 +118,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", t
     rows = rows.select("id", "text", "doc", F.expr(_MARK if shared_id else "0L").alias("mark"))
     joined = rows.join(marks, ["doc", "mark"], "left").select("id", "text", "starts", "copy")
 
+    @task("words")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, "text"):
             words = [t.split() if t else [] for t in texts]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import CACHE_WORDS, bucket, slices
+from matrixlake.llm.common import CACHE_WORDS, bucket, slices, task
 
 MAX_ROWS = 12_000
 LEXICON_SIZE = 4000
@@ -198,6 +198,7 @@ class Model:
 
 
 def _lexicon(rows: DataFrame, size: int) -> dict[bytes, float]:
+    @task("toxicity")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             found: tuple[Counter, Counter] = Counter(), Counter()
@@ -227,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: F.Column, max_rows: int =
     lexicon = _lexicon(rows.where("fold < 4"), lexicon_size)
     sent = spark.sparkContext.broadcast(lexicon)
 
+    @task("toxicity")
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(sent.value)
         for part, texts in slices(batches, "text"):
@@ -251,6 +253,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     docs = docs.select(*(c for c in docs.columns if c != out_col))
     names = docs.columns
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         words = Words(model.lexicon)

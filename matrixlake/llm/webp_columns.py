@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import slices
+from matrixlake.llm.common import slices, task
 from matrixlake.llm.webp import ROW, decode, decode_bytes, encode_bytes
 
 PAD = b"\xff"
@@ -38,6 +38,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, ``n_bytes``, ``media``): each text's UTF-8 bytes, padded to rows of pixels, as a lossless WebP file."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @task("media")
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches, text_col, 4 << 20):
             yield pa.record_batch([rows.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([encode_bytes(payload_of(t)) for t in texts], pa.binary())], names=["id", "n_bytes", "media"])
@@ -51,6 +52,7 @@ def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     media = media.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema) + ", payload binary, feature string"
 
+    @task("media")
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, files in slices(batches, media_col, 4 << 20):
             got = [decode_bytes(m) if m else None for m in files]
@@ -63,6 +65,7 @@ def to_pixels(media: DataFrame, id_col: str, media_col: str = "media") -> DataFr
     """A row per picture of each file: id, ``picture``, ``width``, ``height``, ``argb`` (rows of unsigned 32-bit values in longs)."""
     id_type = media.schema[id_col].dataType.simpleString()
 
+    @task("media")
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, files in slices(batches, media_col, 4 << 20):
             ids = rows.column(0).to_pylist()
