@@ -116,8 +116,8 @@ def as_bytes(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else column.cast(pa.binary())
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """(rows, their texts as bytes or None), at most ``limit`` bytes or one row at a time."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, most: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """(rows, their texts as bytes or None), at most ``limit`` bytes (or one row) and ``most`` rows at a time."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -127,7 +127,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         at = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(size, size[at] + limit, side="right")) - 1)
-            to = min(to, n)
+            to = min(to, n, at + most)
             yield batch.slice(at, to - at), column.slice(at, to - at).to_pylist()
             at = to
 
