@@ -303,6 +303,36 @@ class Corpus:
         m.obs.write.mode("overwrite").parquet(path)
         return path
 
+    def save_var(self, name: str = "") -> str:
+        """The annotated features beside the stored ones, after a check that they are the same in the same order."""
+        m = self.members[0]
+        if m.path is None or len(self.members) != 1:
+            raise CorpusError("a view is not stored")
+        stored = self.spark.read.parquet(f"{m.path}/var.parquet")
+        keys = [c for c in ("origin_index", self.feature_key) if c and c in stored.columns]
+        if m.var.count() != m.n_var or not stored.select(*keys).exceptAll(m.var.select(*keys)).isEmpty():
+            raise CorpusError("the features differ from the stored ones")
+        path = f"{m.path}/ex_var{'_' + name if name else ''}.parquet"
+        m.var.write.mode("overwrite").parquet(path)
+        return path
+
+    def with_var(self, var: DataFrame) -> Corpus:
+        """The corpus with an annotated feature table."""
+        m = self.members[0]
+        return Corpus(self.spark, [Member(m.name, m.expression, m.obs, var, m.n_obs, m.n_var, m.path)], self.manifest, self.feature_key)
+
+    @property
+    def global_vocab_size(self) -> int:
+        return self.vocabulary.select("global_id").distinct().count()
+
+    @property
+    def max_local_vocab(self) -> int:
+        return max(m.n_var for m in self.members)
+
+    def to_local_feature_ids(self) -> list[str]:
+        """Ids of the global axis, in order."""
+        return [r[0] for r in self.vocabulary.select("global_id", "feature_id").distinct().orderBy("global_id").select("feature_id").collect()]
+
     def hvg(self, n: int | None = None) -> DataFrame:
         """Features with ``hvg_rank`` and, for n, the mask of the first n."""
         parts = [m.var.select(F.lit(i).alias("dataset_index"), "origin_index", (F.col("highly_variable") if "highly_variable" in m.var.columns else F.lit(False)).alias("highly_variable")) for i, m in enumerate(self.members)]
@@ -310,8 +340,26 @@ class Corpus:
         return V.hvg_mask(ranked, n) if n is not None else ranked
 
 
-def concat(corpora: Mapping[str, Corpus], feature_key: str | None = "feature_id", obs_columns: Sequence[str] | None = None, var_columns: Sequence[str] = ()) -> Corpus:
-    """A view over named corpora; ids must be unique within each, attributes of shared features must agree."""
+def unique_names(obs: DataFrame, name: str = "cell_id", order: str = "pos") -> DataFrame:
+    """Names of repeated rows made unique: the first keeps its name, later ones get -1, -2, ..."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    return obs.withColumn(name, F.when(k == 0, F.col(name)).otherwise(F.concat_ws("-", name, k)))
+
+
+def concat(corpora: Mapping[str, Corpus], feature_key: str | None = "feature_id", obs_columns: Sequence[str] | None = None, var_columns: Sequence[str] = (), obs: Mapping[str, DataFrame] | None = None, var: Mapping[str, DataFrame] | None = None) -> Corpus:
+    """A view over named corpora; ids must be unique within each, attributes of shared features must agree.
+
+    ``obs`` and ``var`` replace members' tables; rows and their numbers must be the members' own.
+    """
+    for given, key, what in ((obs, "local_row_index", "obs"), (var, "origin_index", "var")):
+        if unknown := sorted(set(given or {}) - set(corpora)):
+            raise CorpusError(f"no members {unknown}")
+        for name, df in (given or {}).items():
+            old = getattr(corpora[name].members[0], what)
+            if df.count() != old.count() or not old.select(key).exceptAll(df.select(key)).isEmpty():
+                raise CorpusError(f"{name}: the rows differ")
     if not corpora or any(not isinstance(k, str) or not k for k in corpora):
         raise CorpusError("members need names")
     members = []
@@ -319,6 +367,7 @@ def concat(corpora: Mapping[str, Corpus], feature_key: str | None = "feature_id"
         if len(c.members) != 1:
             raise CorpusError("members must not be views")
         m = c.members[0]
+        m = Member(m.name, m.expression, (obs or {}).get(name, m.obs), (var or {}).get(name, m.var), m.n_obs, m.n_var, m.path)
         if feature_key:
             if feature_key not in m.var.columns or not m.var.where(F.col(feature_key).isNull() | (F.col(feature_key).cast("string") == "")).isEmpty():
                 raise CorpusError(f"{name}: features without id")

@@ -49,6 +49,15 @@ def control_candidates(df: DataFrame, row: str = "local_row_index") -> DataFrame
     return found.groupBy("column", "confidence").agg(F.array_sort(F.collect_list(F.struct("r", "value"))).alias("x")).select("column", "confidence", F.col("x.value").alias("labels"))
 
 
+def transform_family(name: str) -> str:
+    """What a matrix's name says was done to it."""
+    low = name.lower()
+    for family, words in (("log", ("log",)), ("scaled", ("scale",)), ("normalized", ("norm", "cpm", "tpm")), ("binary", ("bin",)), ("identity", ("count", "raw"))):
+        if any(w in low for w in words):
+            return family
+    return "identity" if name in (".X", "X") else "unknown"
+
+
 def source_priority(name: str, status: str) -> int:
     """Score of a matrix by name and audit status."""
     low = name.lower()

@@ -160,3 +160,54 @@ def test_streaming(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/land/p0", f"{tmp_path}/land/p1").write.parquet(land)
     ingest(spark, land, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_replaced_tables_and_saved_features(spark, two):
+    _, a, b = two
+    var = a.members[0].var.withColumn("highly_variable", F.col("origin_index") != 1)
+    a.with_var(var).save_var()
+    again = K.open_corpus(spark, a.members[0].path, ex_var="")
+    assert [r["hvg_rank"] for r in again.hvg(1).orderBy("origin_index").collect()] == [1, 0, 2]
+    with pytest.raises(K.CorpusError):
+        a.with_var(var.limit(2)).save_var()
+    v = K.concat({"a": a, "b": b}, var={"a": var}, obs={"b": b.members[0].obs})
+    assert v.global_vocab_size == 4 and v.max_local_vocab == 3 and v.to_local_feature_ids() == ["g1", "g2", "g3", "g4"]
+    with pytest.raises(K.CorpusError):
+        K.concat({"a": a}, obs={"z": a.members[0].obs})
+    with pytest.raises(K.CorpusError):
+        K.concat({"a": a}, obs={"a": a.members[0].obs.limit(1)})
+    taken = v.take_metadata([5, 0, 5], ["cell_id"])
+    assert [r["cell_id"] for r in K.unique_names(taken).orderBy("pos").collect()] == ["d2", "c1", "d2-1"]
+
+
+def test_staging(spark, tmp_path):
+    from matrixlake.sources.staging import estimate, held, stage, staged
+
+    source = tmp_path / "t.parquet"
+    spark.range(1000).write.parquet(str(source))
+    with staged(str(source), str(tmp_path / "fast")) as path:
+        assert estimate(path) == estimate(str(source)) and spark.read.parquet(path).count() == 1000
+        with pytest.raises(FileExistsError):
+            stage(str(source), str(tmp_path / "fast"))
+    assert not (tmp_path / "fast" / "t.parquet").exists()
+    with held(spark.range(5)) as df:
+        assert df.count() == 5
+
+
+def test_command_line(spark, tmp_path):
+    from matrixlake.cli import main
+
+    coo, obs, var = tables(spark, MATRIX, "abcd", ["g1", "g2", "g3"])
+    for name, df in (("matrix", coo), ("obs", obs.drop("dataset_id")), ("var", var)):
+        df.write.parquet(f"{tmp_path}/src/{name}.parquet")
+    assert main(["convert", "--source", f"{tmp_path}/src", "--output", f"{tmp_path}/c"]) == 0
+    assert main(["inspect", "--source", f"{tmp_path}/src", "--dataset-id", "d", "--output", f"{tmp_path}/i"]) == 0
+    put = ["materialize", "--corpus", f"{tmp_path}/r", "--source", f"{tmp_path}/src", "--dataset-id", "d", "--inspection-summary", f"{tmp_path}/i/d/dataset-summary.yaml"]
+    assert main([*put, "--dry-run"]) == 0 and not (tmp_path / "r").exists()
+    assert main(put) == 0 and main(["corpus-validate", "--corpus", f"{tmp_path}/r"]) == 0
+    assert main(["draft-schema", "--dataset-id", "d", "--obs", f"{tmp_path}/src/obs.parquet", "--var", f"{tmp_path}/src/var.parquet", "--output", f"{tmp_path}/s.yaml"]) == 0
+    assert main(["canonicalize", "--corpus", f"{tmp_path}/r", "--dataset-id", "d", "--schema", f"{tmp_path}/s.yaml"]) == 0
+    assert main(["corpus-validate", "--corpus", f"{tmp_path}/r", "--strict"]) == 0
+    assert main(["corpus-compose", "--output", f"{tmp_path}/z", "--pick", f"{tmp_path}/r:d"]) == 0 and main(["corpus-gc", "--corpus", f"{tmp_path}/r", "--dry-run"]) == 0
+    with pytest.raises(SystemExit):
+        main(["inspect", "--output", "x"])
