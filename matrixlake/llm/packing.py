@@ -33,9 +33,9 @@ from matrixlake.llm.common import cached_by, slices, task
 
 SIZE = 4096
 END_ID = 2
-SENTENCE_PENALTY = 8
-INSIDE_PENALTY = 48
-GRID = 64
+SENTENCE_PENALTY = 4
+INSIDE_PENALTY = 24
+GRID = 32
 BLOCK_TOKENS = 1 << 20
 #: distinct pieces of text whose ids a worker keeps, about 200 bytes each
 CACHE_PIECES = 600_000
