@@ -225,6 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     top = reps.select("rep").distinct().join(parts.toDF("rep", "c"), "rep", "left").select("rep", F.coalesce("c", "rep").alias("c"))
     if joined is not None:
         top = top.join(joined.toDF("c", "d"), "c", "left").select("rep", F.coalesce("d", "c").alias("c"))
+    top = materialize(top, "tops")  # read back, so that the many copies of one text are split in the join
     rows = signed.select("doc", "n", "sa", "sb").join(several, ["sa", "sb", "n"], "left").select("doc", "n", "sa", "sb", F.when(F.col("n") > 0, F.coalesce("rep", "doc")).alias("rep"))
     if not named.groupBy("doc").agg(F.count_distinct("sa", "sb", "n").alias("k")).where("k > 1").isEmpty():
         # one id with several sets ties their components together
