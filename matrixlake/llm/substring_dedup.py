@@ -160,3 +160,14 @@ def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", t
 def query(spark, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT doc_id, list(DISTINCT i + o) AS p FROM win JOIN f USING (k), (SELECT unnest(range(13)) AS o) WHERE m < doc_id GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN p IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(p, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
