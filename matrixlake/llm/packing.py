@@ -61,7 +61,7 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.end_id = end_id
+        self.end_id, self.limit = end_id, CACHE_PIECES
         stop = re.compile(r"[.!?]+[\"')\]]*(</w>)?$")
         vocabulary = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -118,7 +118,7 @@ class Encoder(dict):
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end id, and each text's number of ids."""
-        if len(self) > CACHE_PIECES:
+        if len(self) > self.limit:
             self.reset()
         known = len(self)
         pieces = [[*self.prepared(t).split(), b"\n"] if t else [b"\n"] for t in texts]
@@ -207,15 +207,16 @@ def powers(n: int, size: int) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """A row per piece: id, ``start`` (ids of its document before it), ``doc_tokens``, ``sequence_id``, ``offset`` and ``ids``
-    (unsigned 32-bit little-endian). ``size`` must be a power of two."""
+    (unsigned 32-bit little-endian). ``size`` must be a power of two; ``cache_pieces`` bounds what a worker remembers."""
     path = tokenizer or default_tokenizer()
     id_type = docs.schema[id_col].dataType
 
     @task("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
+        enc.limit = cache_pieces
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 33
         arrow_type = None
