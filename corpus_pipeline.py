@@ -48,7 +48,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, cache_pieces=150_000)  # the workers' memory is shared with what earlier stages left
 
 
 STAGES = [
