@@ -41,7 +41,9 @@ from matrixlake.llm.common import bucket, hash_words, materialize, slices, task
 ORDER = 5
 BLOCK_RUNS = 6_000_000
 BLOCK_WORDS = 12_000_000
-MEMO_BITS = 21
+MEMO_BITS = 20
+#: bytes of texts at a time; arrays of a slice take about 60 times as much
+SLICE = 1 << 19
 END = 255
 END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line end
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -76,10 +78,15 @@ def tally(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return s[first], np.add.reduceat(c, first) if len(first) else c
 
 
+def small(a: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as they need."""
+    return a.astype(np.uint16 if not len(a) or a.max() < 1 << 16 else np.uint32 if a.max() < 1 << 32 else np.int64)
+
+
 class Gather:
     """Counts by code, merged now and then; what has become too large is handed on."""
 
-    def __init__(self, limit: int = 3_000_000):
+    def __init__(self, limit: int = 1_000_000):
         self.limit, self.parts, self.held = limit, [], 0
 
     def add(self, codes: np.ndarray) -> None:
@@ -124,6 +131,8 @@ class Trie:
             below = self.count[j - 1][np.searchsorted(self.gram[j - 1], self.gram[j] & np.uint64((1 << (8 * j)) - 1))]
             first = np.cumsum(self.kinds[j]) - self.kinds[j]
             self.taken[j] = np.add.reduceat(below, first) if len(first) else below
+        for part in (self.count, self.total, self.kinds, self.taken):
+            part[:] = [x if x is None else small(x) for x in part]
 
     @staticmethod
     def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,17 +149,18 @@ class Trie:
         for j in range(self.order, -1, -1):
             g = codes[left] & np.uint64((1 << (8 * (j + 1))) - 1)
             node, known = self._find(self.ctx[j], g >> np.uint64(8))
-            total, kinds = np.where(known, self.total[j][node] if len(self.total[j]) else 0, 0), np.where(known, self.kinds[j][node] if len(self.kinds[j]) else 0, 0)
+            at_node = lambda a: np.where(known, a[node].astype(np.int64) if len(a) else 0, 0)  # noqa: B023, E731
+            total, kinds = at_node(self.total[j]), at_node(self.kinds[j])
             t, d = total - gone_total[left], kinds - gone_kinds[left]
             at, seen = self._find(self.gram[j], g)
             open_ = d > 0  # else nothing is left to code here, and the escape is certain
-            c = self.count[j][at] if len(self.count[j]) else np.zeros(len(g), np.int64)
+            c = self.count[j][at].astype(np.int64) if len(self.count[j]) else np.zeros(len(g), np.int64)
             hit = seen & open_
             out[left[hit]] += np.log10(c[hit] / (t[hit] + d[hit]))
             miss = ~hit & open_
             out[left[miss]] += np.log10(d[miss] / (t[miss] + d[miss]))
             if j:
-                gone_total[left[known]] = (self.taken[j][node] if len(self.taken[j]) else node)[known]
+                gone_total[left[known]] = at_node(self.taken[j])[known]
                 gone_kinds[left[known]] = kinds[known]
             else:
                 gone_kinds[left] = kinds
@@ -199,12 +209,12 @@ def train(rows: DataFrame, order: int = ORDER) -> DataFrame:
         def out(kind, got):
             return pa.record_batch([pa.array(np.full(len(got[0]), kind, np.int32)), pa.array(got[0].view(np.int64)), pa.array(got[1].astype(np.int64))], names=["kind", "key", "n"])
 
-        for _, texts in slices(batches, "text"):
+        for _, texts in slices(batches, "text", SLICE):
             gathers[0].add(runs(texts, order)[0])
             h, _ = hash_words(texts, lower=True)
             gathers[1].add(np.concatenate([h, np.full(len(texts), END_WORD)]))
             for kind in (0, 1):
-                if got := gathers[kind].take(4_000_000):
+                if got := gathers[kind].take(2_000_000):
                     yield out(kind, got)
         for kind in (0, 1):
             if got := gathers[kind].take():
@@ -242,7 +252,9 @@ def ppm_score(docs: DataFrame, training: F.Column, order: int = ORDER, id_col: s
         held += n
     known = None
     if n_words <= block_words:
-        known = spark.sparkContext.broadcast(tuple(_arrays(words)))
+        keys, n = _arrays(words)
+        known = spark.sparkContext.broadcast((keys, small(n)))
+        del keys, n
     id_type = rows.schema["id"].dataType.simpleString()
     names = ["id", "text", "in_training", "n_tokens", "n_known", "base_score", "score"]
     schema = f"id {id_type}, text string, in_training boolean, n_tokens long, n_known long, base_score double, score double"
@@ -250,7 +262,7 @@ def ppm_score(docs: DataFrame, training: F.Column, order: int = ORDER, id_col: s
     floor = float(np.log10(0.1 / (n_tokens + 0.1 * (n_words + 1)))) if n_tokens or n_words else float(np.log10(0.1 / 0.1))
     for k, block in enumerate(blocks):
         part = letters if len(blocks) == 1 else letters.where(F.expr("cast(shiftrightunsigned(key, 8) & 255 as int)").isin(block))
-        sent = spark.sparkContext.broadcast((*_arrays(part), zero))
+        sent = spark.sparkContext.broadcast(Trie(*_arrays(part), zero, order))
         mine = np.zeros(256, bool)
         mine[block if len(blocks) > 1 else slice(None)] = True
         if k == len(blocks) - 1:  # contexts never seen belong to the last block
@@ -259,18 +271,17 @@ def ppm_score(docs: DataFrame, training: F.Column, order: int = ORDER, id_col: s
 
         @task("words")
         def score(batches: Iterator[pa.RecordBatch], sent=sent, mine=mine, tokens=tokens, whole=bool(mine.all()), last=k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
-            trie = Trie(*sent.value, order)
-            price = Memo(trie.price)
+            price = Memo(sent.value.price)
             if tokens and known is not None:
-                keys, n = known.value
-                logs = np.log10((n + 0.1) / (n_tokens + 0.1 * (n_words + 1)))
+                keys, counted = known.value
 
                 def value(h):
                     at, seen = Trie._find(keys, h)
-                    return np.where(seen, logs[at], floor) if len(keys) else np.full(len(h), floor)
+                    c = counted[at].astype(np.int64) if len(keys) else np.zeros(len(h), np.int64)
+                    return np.where(seen, np.log10((c + 0.1) / (n_tokens + 0.1 * (n_words + 1))), floor)
 
                 worth = Memo(value)
-            for part, texts in slices(batches, "text"):
+            for part, texts in slices(batches, "text", SLICE):
                 codes, n = runs(texts, order)
                 if whole:
                     got = _sums(price(codes), n)
@@ -282,13 +293,13 @@ def ppm_score(docs: DataFrame, training: F.Column, order: int = ORDER, id_col: s
                 columns = [part.column(i) for i in range(7)]
                 columns[6] = pa.array(part.column(6).to_numpy(zero_copy_only=False) + got)
                 if tokens:
-                    h, n = hash_words(texts, lower=True)
-                    columns[3] = pa.array(n + 1)
+                    h, many = hash_words(texts, lower=True)
+                    columns[3] = pa.array(many + 1)
                     if known is not None:
                         v = worth(h)
                         end = float(worth(np.array([END_WORD]))[0])
-                        columns[4] = pa.array(_sums((v > floor).astype(float), n).astype(np.int64) + (end > floor))
-                        columns[5] = pa.array(_sums(v, n) + end)
+                        columns[4] = pa.array(_sums((v > floor).astype(float), many).astype(np.int64) + (end > floor))
+                        columns[5] = pa.array(_sums(v, many) + end)
                 if last:
                     columns[1] = pa.nulls(part.num_rows, pa.string()) if known is not None else part.column(1)
                 yield pa.record_batch(columns, names=names)
