@@ -40,7 +40,7 @@ from matrixlake.llm.common import bucket, hash_words, materialize, slices, task
 
 ORDER = 5
 BLOCK_RUNS = 6_000_000
-BLOCK_WORDS = 12_000_000
+BLOCK_WORDS = 6_000_000
 MEMO_BITS = 20
 #: bytes of texts at a time; arrays of a slice take about 60 times as much
 SLICE = 1 << 19
