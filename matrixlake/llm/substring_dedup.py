@@ -7,9 +7,8 @@ to be counted. Half windows seen in one document alone end there; they are left
 out by a bitmap of fixed size that says which are repeated (a wrong "repeated"
 costs work, never a result). Level 2 extends the surviving windows alone to
 twice the length (overlapping by one word where the length is odd) and counts
-them exactly. ``length`` is reached after the second level; with ``levels`` more
-doublings follow, each on what the level before left, until no candidates
-survive.
+them exactly. That length is what is removed by; ``longest_repeats`` goes on
+doubling, each level on what the one before left, until no candidates survive.
 
 Exact copies are settled first, by a hash of the whole text: every window of a
 copy also starts in the copy with the smallest id.
@@ -51,9 +50,9 @@ def _windows(texts: list, length: int):
     return h, n, owner, ok, low
 
 
-def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, bool]:
-    """(covered, copies): start positions of windows that also start in a document with a smaller id, by document and text;
-    the documents that are copies of one with a smaller id; and whether different texts share an id."""
+def _candidates(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(windows, copies, shared): hash, document and position of windows that may be repeated; documents that are copies
+    of one with a smaller id; whether different texts share an id."""
     spark = docs.sparkSession
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     a, b = _hash("text")
@@ -101,10 +100,41 @@ def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id",
 
     # "at" holds the word position in its low 32 bits and, where texts share an id, part of the text's hash in the high ones
     candidates = materialize(rows.mapInArrow(extend, "h long, doc long, at long"), "windows")
-    low = candidates.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low")
-    low = materialize(low, "repeated")  # read back, so that both sides of the join are dealt anew and a hot window can be split
-    covered = candidates.join(low, "h").where("low < doc").select("doc", F.expr("shiftright(at, 32)").alias("mark"), F.expr("cast(at & 4294967295 as int)").alias("start"))
-    return covered, copies.select("doc", F.expr(_MARK if shared_id else "0L").alias("mark")).distinct(), shared_id
+    return candidates, copies.select("doc", F.expr(_MARK if shared_id else "0L").alias("mark")).distinct(), shared_id
+
+
+def _repeated(windows: DataFrame) -> DataFrame:
+    """(h, low) of windows in more than one document. Read back, so that both sides of a join with it are dealt anew and a hot window can be split."""
+    return materialize(windows.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low"), "repeated")
+
+
+def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, bool]:
+    """(covered, copies): start positions of windows that also start in a document with a smaller id, by document and text;
+    the documents that are copies of one with a smaller id; and whether different texts share an id."""
+    candidates, copies, shared_id = _candidates(docs, length, id_col, text_col)
+    covered = candidates.join(_repeated(candidates), "h").where("low < doc").select("doc", F.expr("shiftright(at, 32)").alias("mark"), F.expr("cast(at & 4294967295 as int)").alias("start"))
+    return covered, copies, shared_id
+
+
+def longest_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, length): for each document with a window that another text has too, the longest of ``length``, twice that, and so on.
+
+    A window of twice the length is named by the names of its halves, both of
+    which must have survived. Of equal texts the smallest id stands for all.
+    """
+    candidates, _, _ = _candidates(docs, length, id_col, text_col)
+    now = materialize(candidates.join(_repeated(candidates), "h", "left_semi"), "level")
+    found = None
+    while not now.isEmpty():
+        level = now.select("doc").distinct().withColumn("length", F.lit(length).cast("long"))
+        found = level if found is None else found.unionByName(level)
+        second = now.select("doc", (F.col("at") - length).alias("at"), F.col("h").alias("h2"))
+        twice = materialize(now.join(second, ["doc", "at"]).select(F.xxhash64("h", "h2").alias("h"), "doc", "at"), "level")
+        now = materialize(twice.join(_repeated(twice), "h", "left_semi"), "level")
+        length *= 2
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc long, length long")
+    return found.groupBy("doc").agg(F.max("length").alias("length"))
 
 
 def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

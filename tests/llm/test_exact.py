@@ -238,6 +238,29 @@ def test_substrings(spark, length):
     assert substring_dedup.substring_dedup(cases.empty(spark), length).count() == 0
 
 
+def test_longest_repeats(spark):
+    """Doubling ends at the longest length that two texts share, against counting every length."""
+    rows = [r for r in cases.texts() if r[0] not in (None, 18, 19)]
+    texts = {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        texts.setdefault(t or "", d)
+    words = {d: t.encode().split() for t, d in texts.items()}
+    want, length = {}, 4
+    while True:
+        where = defaultdict(set)
+        for d, w in words.items():
+            for i in range(len(w) - length + 1):
+                where[tuple(w[i : i + length])].add(d)
+        more = {d: length for v in where.values() if len(v) > 1 for d in v}
+        if not more:
+            break
+        want.update(more)
+        length *= 2
+    got = {r["doc"]: r["length"] for r in substring_dedup.longest_repeats(cases.frame(spark, rows), 4).collect()}
+    assert got == want and max(got.values()) == 64
+    assert substring_dedup.longest_repeats(cases.empty(spark), 4).count() == 0
+
+
 # personal data
 
 KINDS = ("email", "ip", "card", "phone")
