@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 CACHE_WORDS = 300_000
 BITMAP_BITS = 27
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -40,8 +41,10 @@ def task(owner: str):
     """For functions over batches: caches of other owners go before the work, freed memory goes back after it.
 
     Workers are used again by later stages; what one stage keeps must not add to
-    what the next one needs.
+    what the next one needs. The session's Arrow batches are bounded by bytes, too:
+    ten thousand long texts, Spark's bound by rows, may be any size.
     """
+    _bound_batches(SparkSession.getActiveSession())
 
     def wrap(work):
         @functools.wraps(work)
@@ -57,6 +60,12 @@ def task(owner: str):
     return wrap
 
 
+def _bound_batches(spark: SparkSession | None) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def _claim(owner: str) -> None:
     for name, drop in _caches.items():
         if name != owner:
