@@ -10,12 +10,13 @@ entity (a found value). Over the whole corpus, n(e, t) counts the mentions of e
 near, and n(t) all occurrences of t. A term leaves log2 1/P(e | t) bits of the
 entity unknown, with P(e | t) = n(e, t) / n(t). It is disclosing when it occurs
 near e in ``min_contexts`` different contexts at least and P(e | t) reaches
-``disclosure`` (one bit is left at 0.5). Terms at ``removal`` or more are removed,
-others generalised. Copies of one passage are one context.
+``disclosure`` (one bit is left at 0.5). Every occurrence of a disclosing term is
+marked, in all texts, by its highest share: at ``removal`` or more it is removed,
+else generalised. Copies of one passage are one context.
 
 Defined results: a null or empty text has no spans; repeated rows are judged one
-by one (and their mentions counted as often); rows with a null id are base
-matched only. Base spans always stay; a term span that overlaps one is left out.
+by one (and their mentions counted as often), rows with a null id like others.
+Base spans always stay; a term span that overlaps one is left out.
 Columns besides id and text pass through ``sanitise`` untouched.
 """
 
@@ -45,9 +46,13 @@ BROADCAST_BYTES = 48 << 20
 _SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
 
 
+def _quoted(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def spans(text: str, pattern: str, kind: int, test: str = "true") -> str:
     """SQL: matches of a pattern as (start, kind, end, value), from the gaps between them; both are taken once."""
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    quoted = _quoted(pattern)
     return f"""filter(aggregate(zip_with(split({text}, '{quoted}', -1), regexp_extract_all({text}, '{quoted}', 0), (g, h) -> named_struct('g', g, 'h', h)),
       named_struct('at', 0L, 'out', cast(array() as {_SPANS})),
       (s, p) -> if(p.h is null, s, named_struct('at', s.at + length(p.g) + length(p.h), 'out', array_append(s.out,
@@ -64,26 +69,42 @@ def base_spans(text: str) -> str:
     return f"array_sort(concat({', '.join(parts)}))"
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(doc, mark, entity, context, term, start, end): words near each base span."""
-    mention = found.where("size(base) > 0").select("doc", "mark", "text", F.explode("base").alias("m"))
+def _words(text: str) -> str:
+    return f"regexp_extract_all({text}, '{_quoted(TERM)}', 0)"
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """(entity, term, both, contexts): words near base spans, how often, and in how many different contexts."""
+    mention = found.where("size(base) > 0").select("text", F.explode("base").alias("m"))
     mention = mention.select(
-        "doc",
-        "mark",
         F.expr("concat(m.kind, ':', lower(m.value))").alias("entity"),
         F.expr(f"greatest(0L, m.start - {REACH})").alias("lo"),
         F.expr(f"substring(text, cast(greatest(0L, m.start - {REACH}) as int) + 1, cast(least(m.start, {REACH}L) as int))").alias("left"),
-        F.expr("m.end").alias("hi"),
         F.expr(f"substring(text, cast(m.end as int) + 1, {REACH})").alias("right"),
         F.expr(f"m.end + {REACH} >= length(text)").alias("closed"),
     )
     left = f"slice(reverse(filter({spans('left', TERM, 4)}, x -> x.start > 0 or lo = 0)), 1, {NEAR})"
     right = f"slice(filter({spans('right', TERM, 4)}, x -> x.end < {REACH} or closed), 1, {NEAR})"
-    near = mention.select(
-        "doc", "mark", "entity", F.xxhash64("left", "right").alias("context"),
-        F.explode(F.expr(f"concat(transform({left}, x -> named_struct('t', lower(x.value), 's', x.start + lo, 'e', x.end + lo)), transform({right}, x -> named_struct('t', lower(x.value), 's', x.start + hi, 'e', x.end + hi)))")).alias("x"),
-    )
-    return near.select("doc", "mark", "entity", "context", F.col("x.t").alias("term"), F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+    near = mention.select("entity", F.xxhash64("left", "right").alias("context"), F.explode(F.expr(f"transform(concat({left}, {right}), x -> lower(x.value))")).alias("term"))
+    return near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("m")).groupBy("entity", "term").agg(F.sum("m").alias("both"), F.count(F.lit(1)).alias("contexts"))
+
+
+def _every_occurrence(rows: DataFrame, telling: DataFrame) -> DataFrame:
+    """(doc, mark, more): all places of the terms of ``telling`` (term, value), wherever they stand in whichever text."""
+    bound = telling.agg(F.coalesce(F.sum(F.expr("64 + octet_length(term)")), F.lit(0))).first()[0]
+    words = rows.select("doc", "mark", F.explode(F.expr(f"array_distinct({_words('text')})")).alias("word")).select("doc", "mark", F.lower("word").alias("term"))
+    hits = words.join(F.broadcast(telling) if bound <= BROADCAST_BYTES else telling, "term").groupBy("doc", "mark").agg(F.collect_set(F.struct("term", "value")).alias("hits"))
+    hits = materialize(hits.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.map_from_entries("hits").alias("hits")), "hits")
+    bound = hits.agg(F.coalesce(F.sum(F.expr("64 + aggregate(map_keys(hits), 0L, (s, t) -> s + 64 + octet_length(t))")), F.lit(0))).first()[0]
+    texts = rows.join(F.broadcast(hits) if bound <= BROADCAST_BYTES else hits, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")))
+    # only hits are appended: the cost follows the words
+    places = f"""aggregate(zip_with(split(text, '{_quoted(TERM)}', -1), {_words("text")}, (g, h) -> named_struct('g', g, 'h', h, 'v', try_element_at(hits, lower(h)))),
+      named_struct('at', 0L, 'out', cast(array() as {_SPANS})),
+      (s, p) -> if(p.h is null, s, named_struct('at', s.at + length(p.g) + length(p.h), 'out', if(p.v is null, s.out, array_append(s.out,
+        named_struct('start', s.at + length(p.g), 'kind', 4, 'end', s.at + length(p.g) + length(p.h), 'value', p.v))))),
+      s -> s.out)"""
+    # a repeated row has the places of the first
+    return texts.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.expr(places).alias("more")).groupBy("_doc", "_mark").agg(F.first("more").alias("more"))
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = 0.5, removal: float = 0.9, min_contexts: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,20 +112,20 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.5, removal: float
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
     found = rows.withColumn("base", F.expr(base_spans("text")))
-    # texts of documents with spans go along once, for their contexts; of others only the id
-    found = materialize(found.withColumn("text", F.expr("if(size(base) > 0 and doc is not null, text, null)")), "spans")
-    contexts = materialize(_contexts(found.where("text is not null")), "contexts")
-    pairs = contexts.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("m")).groupBy("entity", "term").agg(F.sum("m").alias("both"), F.count(F.lit(1)).alias("contexts"))
-    pairs = materialize(pairs.where(F.col("contexts") >= min_contexts), "pairs")
+    # texts with spans go along once, for their contexts; of others only the id
+    found = materialize(found.withColumn("text", F.expr("if(size(base) > 0, text, null)")), "spans")
+    pairs = materialize(_pairs(found).where(F.col("contexts") >= min_contexts), "pairs")
+    found, telling = found.drop("text"), None
     if not pairs.isEmpty():
         # all words are counted, then joined: what is joined follows the pairs, not the texts
-        said = rows.select(F.explode(F.expr(f"regexp_extract_all(lower(text), '{TERM.replace(chr(92), chr(92) * 2)}', 0)")).alias("term"))
-        total = said.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        telling = pairs.join(total, "term").select("entity", "term", (F.col("both") / F.greatest("n", "both")).alias("share")).where(F.col("share") >= disclosure)
-        added = contexts.join(telling, ["entity", "term"]).groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", F.when(F.col("share") >= removal, "").otherwise("[TERM]").alias("value")))).alias("more"))
-        out = found.drop("text").join(added, ["doc", "mark"], "left")
+        said = rows.select(F.explode(F.expr(_words("text"))).alias("word")).groupBy(F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+        share = pairs.join(said, "term").select("term", (F.col("both") / F.greatest("n", "both")).alias("share")).where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("share"))
+        telling = materialize(share.select("term", F.when(F.col("share") >= removal, "").otherwise("[TERM]").alias("value")), "telling")
+    if telling is not None and not telling.isEmpty():
+        more = _every_occurrence(rows, telling)
+        out = found.join(more, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left").drop("_doc", "_mark")
     else:
-        out = found.drop("text").withColumn("more", F.lit(None).cast(_SPANS))
+        out = found.withColumn("more", F.lit(None).cast(_SPANS))
     clear = F.expr(f"filter(coalesce(more, cast(array() as {_SPANS})), x -> not exists(base, b -> b.start < x.end and x.start < b.end))")
     return out.withColumn("more", clear).select("doc", "mark", "base", F.expr("array_sort(concat(base, more))").alias("spans"))
 

@@ -313,6 +313,21 @@ def test_disclosing_terms(spark):
     assert "zanzibarius" not in clean[0] and "[EMAIL]" in clean[0] and "example.org" not in clean[0] and clean[50] == text[50]
 
 
+def test_disclosing_terms_away_from_their_entity(spark):
+    """A surname said 6 times next to one address and 5 times alone (in either case, in another sentence, without an id) goes everywhere."""
+    rows = [(i, f"note {cases.WORDS[i]} about zanzibarius contact anna@example.org thanks") for i in range(6)]
+    rows += [(20 + i, f"about {cases.WORDS[i]} thanks for contact note number {i}") for i in range(20)]
+    rows[5] = (5, rows[5][1] + ". One two three four five six seven. Then zanzibarius left")
+    rows += [(50, "ZANZIBARIUS was seen and zanzibarius waved"), (51, "only zanzibarius"), (51, "only zanzibarius"), (52, "zanzibariusx stays")]
+    clean = pii.sanitise(cases.frame(spark, rows)).collect()
+    assert not any("zanzibarius" in (r["text"] or "").lower().replace("zanzibariusx", "") for r in clean)
+    assert Counter(r["text"] for r in clean if r["doc_id"] in (50, 51, 52)) == Counter(["[TERM] was seen and [TERM] waved", "only [TERM]", "only [TERM]", "zanzibariusx stays"])
+    rows[-3] = (None, "only zanzibarius")
+    assert {r["text"] for r in pii.sanitise(cases.frame(spark, rows)).where("doc_id is null").collect()} == {"only [TERM]"}
+    found = pii.find_personal_data(cases.frame(spark, rows)).where("doc = 5").first()
+    assert [s["value"] for s in found["spans"] if s["kind"] == 4] == ["[TERM]", "[TERM]"]
+
+
 def test_sanitise(spark):
     rows = [(1, "a@b.cd, +49 (30) 123-45678 and 1.2.3.4"), (2, None), (3, "clean"), (3, "clean"), (None, "x@y.zz")]
     df = cases.frame(spark, rows, clash=("_mark", "value"))
