@@ -9,7 +9,7 @@ from matrixlake.functions.draws import order
 from matrixlake.operators import counts as C
 from matrixlake.operators import features as V
 from matrixlake.operators import gather as G
-from matrixlake.operators.reorder import reorder
+from matrixlake.operators.reorder import reorder, shuffled
 from matrixlake.plans.inspection import choose_count_source, choose_matrix, rank_candidates, source_priority
 from matrixlake.queries.data import coo, dataset_coo, table
 
@@ -133,6 +133,14 @@ def gather_table(spark, d) -> DataFrame:
     return G.gather(orders, asked)
 
 
+def gather_table_all(spark, d) -> DataFrame:
+    """Every line item asks for an order, any of all of them."""
+    n = table(spark, d, "orders").count()
+    asked = table(spark, d, "lineitem").select(((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")).alias("pos"), F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(n)).alias("id"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("global_row_index"), "o_orderstatus")
+    return G.gather(orders, asked)
+
+
 def _entries(spark, d) -> DataFrame:
     n = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("dataset_id")).agg(F.count(F.lit(1)).alias("n_cells"))
     number = F.when(F.col("dataset_id") == "F", 0).when(F.col("dataset_id") == "O", 1).otherwise(2)
@@ -152,6 +160,12 @@ def route_rows_to_dataset(spark, d) -> DataFrame:
     return G.route(ids, _entries(spark, d))
 
 
+def route_all_rows_to_dataset(spark, d) -> DataFrame:
+    n = table(spark, d, "orders").count()
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.pmod(F.col("o_orderkey") * 31, F.lit(n)).alias("id"))
+    return G.route(ids, _entries(spark, d))
+
+
 def gap_islands(spark, d) -> DataFrame:
     return G.row_ranges(table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id")), 2)
 
@@ -179,6 +193,11 @@ def reorder_rewrite(spark, d) -> DataFrame:
     return reorder(orders, _shuffled(spark, d))
 
 
+def reorder_rewrite_all(spark, d) -> DataFrame:
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("global_row_index"), "o_totalprice")
+    return reorder(orders, shuffled(orders.select(F.col("global_row_index").alias("row")), 7))
+
+
 def export_chunks(spark, d) -> DataFrame:
     return G.chunks(dataset_coo(spark, d), 4096).groupBy("dataset_index", "chunk").agg(F.count(F.lit(1)).alias("nnz"), F.sum("value").alias("total"))
 
@@ -242,11 +261,19 @@ QUERIES = {
         "SELECT id AS global_row_index, o_orderstatus, o_totalprice, pos FROM (SELECT unnest([9, 1, 9, 5, 0, 257, 14, 5])::BIGINT AS id, unnest(range(8)) AS pos) JOIN orders ON o_orderkey = id",
     ),
     "gather_table": (gather_table, "SELECT o_orderkey AS global_row_index, o_orderstatus, l_partkey * 100000 + l_orderkey AS pos FROM lineitem JOIN orders ON o_orderkey = (l_orderkey * 7) % 1000 WHERE l_linenumber = 1"),
+    "gather_table_all": (
+        gather_table_all,
+        "SELECT o_orderkey AS global_row_index, o_orderstatus, CAST((l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS BIGINT) AS pos FROM lineitem JOIN orders ON o_orderkey = (l_orderkey * 7 + l_linenumber) % (SELECT count(*) FROM orders)",
+    ),
     "global_ranges": (global_ranges, f"WITH {ENTRIES_SQL} SELECT * FROM ent"),
     "route_rows_to_dataset": (
         route_rows_to_dataset,
         f"WITH {ENTRIES_SQL} SELECT o_orderkey AS pos, (o_orderkey * 31) % 997 AS id, dataset_id, dataset_index, (o_orderkey * 31) % 997 - global_start AS local_row_index FROM orders JOIN ent ON (o_orderkey * 31) % 997 >= global_start AND (o_orderkey * 31) % 997 < global_end",
     ),
+    "route_all_rows_to_dataset": (
+        route_all_rows_to_dataset,
+        f"WITH {ENTRIES_SQL}, i AS (SELECT o_orderkey AS pos, (o_orderkey * 31) % (SELECT count(*) FROM orders) AS id FROM orders) SELECT pos, id, dataset_id, dataset_index, id - global_start AS local_row_index FROM i JOIN ent ON id >= global_start AND id < global_end",
+    ),
     "gap_islands": (
         gap_islands,
         "WITH i AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 45), n AS (SELECT id, CASE WHEN id - lag(id) OVER (ORDER BY id) <= 3 THEN 0 ELSE 1 END AS b FROM i), r AS (SELECT id, sum(b) OVER (ORDER BY id) AS k FROM n) SELECT min(id) AS start, max(id) + 1 AS stop, count(*) AS n_requested FROM r GROUP BY k",
@@ -260,6 +287,10 @@ QUERIES = {
         reorder_rewrite,
         "WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5('7:' || o_orderkey)) - 1 AS n FROM orders WHERE o_orderkey < 500) SELECT n AS global_row_index, o_totalprice, o_orderkey AS source_row FROM o",
     ),
+    "reorder_rewrite_all": (
+        reorder_rewrite_all,
+        "WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5('7:' || o_orderkey)) - 1 AS n FROM orders) SELECT n AS global_row_index, o_totalprice, o_orderkey AS source_row FROM o",
+    ),
     "export_chunks": (
         export_chunks,
         "SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS dataset_index, l_orderkey // 4096 AS chunk, count(*) AS nnz, sum(l_quantity) AS total FROM lineitem GROUP BY 1, 2",
