@@ -121,6 +121,15 @@ def links_topk_both_sides(spark, d) -> DataFrame:
     return _links(spark, d, 2).select("source_row", "target_row", "weight")
 
 
+def links_topk_all_labels(spark, d) -> DataFrame:
+    """Whole vectors, in whole thousandths, of each label against those of each other one."""
+    e = table(spark, d, "embeddings")
+    feature = e.select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000)).alias("feature"))
+    g = P.make_groups(e.select(F.col("vec_id").alias("row"), "label"), ["label"])
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0).cast("long"), lambda s, v: s + v)
+    return P.links_by_expression(g, P.cross(g, where=src.label != tgt.label), feature, dot, 2).select("source_row", "target_row", "weight")
+
+
 def links_callback(spark, d) -> DataFrame:
     """A callback links cells of equal rank in their groups."""
     def same_rank(s, t):
@@ -211,6 +220,16 @@ def links_lookup(spark, d) -> DataFrame:
     return S.Sampler(g, pairs, links="table", link_table=links).epoch_rows(0, 9).select("source_row", "target_row")
 
 
+def links_lookup_all(spark, d) -> DataFrame:
+    """As ``links_lookup``, with three hashed partners in the next year's group for every cell that has one."""
+    g = _groups(spark, d)
+    pairs = P.cross(g, on=["status"], where=tgt.year == src.year + 1)
+    at = g.rows.withColumnRenamed("group", "source_group").join(pairs.select("source_group", F.col("target_group").alias("group")), "source_group").join(g.table.select("group", "n_cells"), "group")
+    at = at.select(F.col("row").alias("source_row"), "group", "n_cells", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")).withColumn("k", F.pmod(F.col("source_row") * 31 + F.col("j") * 7, F.col("n_cells")))
+    links = at.join(g.members().select("group", "k", F.col("row").alias("target_row")), ["group", "k"]).select("source_row", "target_row", (F.col("target_row") % 4 + 1).alias("weight")).distinct()
+    return S.Sampler(g, pairs, links="table", link_table=links).epoch_rows(0, 9).select("source_row", "target_row")
+
+
 def cells_batches(spark, d) -> DataFrame:
     return S.cell_batches(_groups(spark, d), 256, 2, 5).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("d"), F.min("ord").alias("lo"), F.max("ord").alias("hi"))
 
@@ -303,6 +322,13 @@ QUERIES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY a, b, source_row ORDER BY weight DESC, source_row, target_row) AS rs, row_number() OVER (PARTITION BY a, b, target_row ORDER BY weight DESC, source_row, target_row) AS rt FROM l)
         SELECT source_row, target_row, weight FROM r WHERE rs <= 2 OR rt <= 2""",
     ),
+    "links_topk_all_labels": (
+        links_topk_all_labels,
+        """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS f FROM embeddings),
+        l AS (SELECT s.label AS a, t.label AS b, s.vec_id AS source_row, t.vec_id AS target_row, CAST(list_sum(list_transform(list_zip(s.f, t.f), lambda z: z[1] * z[2])) AS BIGINT) AS weight FROM e s JOIN e t ON s.label <> t.label),
+        r AS (SELECT *, row_number() OVER (PARTITION BY a, b, source_row ORDER BY weight DESC, source_row, target_row) AS rs, row_number() OVER (PARTITION BY a, b, target_row ORDER BY weight DESC, source_row, target_row) AS rt FROM l)
+        SELECT source_row, target_row, weight FROM r WHERE rs <= 2 OR rt <= 2""",
+    ),
     "links_callback": (
         links_callback,
         f"WITH {_G2}, p AS (SELECT s.grp AS a, t.grp AS b FROM g s JOIN g t ON {_SAME} AND t.yr = s.yr + 1) SELECT x.r AS source_row, y.r AS target_row, CAST(x.k + 1 AS DOUBLE) AS weight FROM p JOIN mem x ON x.grp = a JOIN mem y ON y.grp = b AND y.k = x.k",
@@ -347,6 +373,11 @@ QUERIES = {
         f"WITH {CELLS_SQL}, l AS (SELECT a.r AS s, b.r AS t, b.r % 4 AS w FROM cells a JOIN cells b ON a.status IS NOT DISTINCT FROM b.status AND b.yr = a.yr + 1 WHERE a.r % 25 = 0 AND b.r % 40 = 0), c AS (SELECT *, sum(w) OVER (PARTITION BY s ORDER BY t) AS hi, sum(w) OVER (PARTITION BY s) AS total FROM l) "
         f"SELECT s AS source_row, t AS target_row FROM c WHERE {u_sql(chr(39) + '9:0:' + chr(39) + ' || s || ' + chr(39) + ':link' + chr(39))} * total < hi AND {u_sql(chr(39) + '9:0:' + chr(39) + ' || s || ' + chr(39) + ':link' + chr(39))} * total >= hi - w",
     ),
+    "links_lookup_all": (
+        links_lookup_all,
+        f"WITH {CELLS_SQL}, m AS (SELECT r, status, yr, row_number() OVER (PARTITION BY status, yr ORDER BY r) - 1 AS k, count(*) OVER (PARTITION BY status, yr) AS n FROM cells), l AS (SELECT DISTINCT a.r AS s, b.r AS t, b.r % 4 + 1 AS w FROM m a CROSS JOIN (SELECT unnest(range(3)) AS j) JOIN m b ON a.status IS NOT DISTINCT FROM b.status AND b.yr = a.yr + 1 AND b.k = (a.r * 31 + j * 7) % b.n), c AS (SELECT *, sum(w) OVER (PARTITION BY s ORDER BY t) AS hi, sum(w) OVER (PARTITION BY s) AS total FROM l) "
+        f"SELECT s AS source_row, t AS target_row FROM c WHERE {u_sql(chr(39) + '9:0:' + chr(39) + ' || s || ' + chr(39) + ':link' + chr(39))} * total < hi AND {u_sql(chr(39) + '9:0:' + chr(39) + ' || s || ' + chr(39) + ':link' + chr(39))} * total >= hi - w",
+    ),
     "cells_batches": (cells_batches, "WITH n AS (SELECT count(*) AS n FROM orders) SELECT CAST(i AS VARCHAR) AS batch, least(256, n - i * 256) AS n, least(256, n - i * 256) AS d, CAST(0 AS BIGINT) AS lo, least(256, n - i * 256) - 1 AS hi FROM n, (SELECT unnest(range(100000)) AS i) WHERE i * 256 < n"),
     "cells_same_group": (cells_same_group, f"WITH {_G2}, q AS ({_MULTI.format(s=5, e=2)}) SELECT grp || ':' || k // 64 AS batch, CAST(k % 64 AS INTEGER) AS ord, r AS row FROM q"),
     "write_order_blocks": (
