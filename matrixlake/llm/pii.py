@@ -5,12 +5,13 @@ so that they match in time proportional to the text: repeats at the end are
 possessive, and a match may only begin where a run of its characters begins.
 Card numbers are matched with their bound on digits, since whole runs are.
 
-The information-theoretic step looks at the words around each mention of an
-entity (a found value). Over the whole corpus, n(e, t) counts the mentions of e with term t
-near, and n(t) all occurrences of t. A term leaves log2 1/P(e | t) bits of the
-entity unknown, with P(e | t) = n(e, t) / n(t). It is disclosing when it occurs
-near e in ``min_contexts`` different contexts at least and P(e | t) reaches
-``disclosure`` (one bit is left at 0.5). Every occurrence of a disclosing term is
+The information-theoretic step looks at the whole documents that mention an
+entity (a found value). Terms are all runs of letters and digits. n(e, t) counts
+the documents that hold both entity e and term t, n(t) those that hold t. A term
+leaves log2 1/P(e | t) bits of the entity unknown. P(e | t) is n(e, t) / n(t),
+smoothed towards zero where few contexts speak for it: times c / (c + ``prior``)
+for c different contexts of e in documents with t. A term is disclosing when that
+reaches ``disclosure`` (one bit is left at 0.5). Every occurrence of a disclosing term is
 marked, in all texts, by its highest share: at ``removal`` or more it is removed,
 else generalised. Copies of one passage are one context.
 
@@ -22,6 +23,8 @@ Columns besides id and text pass through ``sanitise`` untouched.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +42,8 @@ PATTERNS = {
     "card": (r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])", "luhn_check(regexp_replace(x, '[ -]', ''))", None),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "length(regexp_replace(x, '[^0-9]', '')) between 10 and 15", "+"),
 }
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{N}]+"
 REACH = 64
-NEAR = 3
 BROADCAST_BYTES = 48 << 20
 _SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
 
@@ -73,19 +75,20 @@ def _words(text: str) -> str:
     return f"regexp_extract_all({text}, '{_quoted(TERM)}', 0)"
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    """(entity, term, both, contexts): words near base spans, how often, and in how many different contexts."""
-    mention = found.where("size(base) > 0").select("text", F.explode("base").alias("m"))
-    mention = mention.select(
-        F.expr("concat(m.kind, ':', lower(m.value))").alias("entity"),
-        F.expr(f"greatest(0L, m.start - {REACH})").alias("lo"),
-        F.expr(f"substring(text, cast(greatest(0L, m.start - {REACH}) as int) + 1, cast(least(m.start, {REACH}L) as int))").alias("left"),
-        F.expr(f"substring(text, cast(m.end as int) + 1, {REACH})").alias("right"),
-        F.expr(f"m.end + {REACH} >= length(text)").alias("closed"),
-    )
-    left = f"slice(reverse(filter({spans('left', TERM, 4)}, x -> x.start > 0 or lo = 0)), 1, {NEAR})"
-    right = f"slice(filter({spans('right', TERM, 4)}, x -> x.end < {REACH} or closed), 1, {NEAR})"
-    near = mention.select("entity", F.xxhash64("left", "right").alias("context"), F.explode(F.expr(f"transform(concat({left}, {right}), x -> lower(x.value))")).alias("term"))
+def _terms(text: str) -> str:
+    return f"array_distinct(transform({_words(text)}, x -> lower(x)))"
+
+
+def _pairs(found: DataFrame, least: int) -> DataFrame:
+    """(entity, term, both, contexts): documents that hold both, and in how many different contexts; entities with fewer than ``least`` cannot tell."""
+    around = f"xxhash64(substring(text, cast(greatest(0L, m.start - {REACH}) as int) + 1, cast(least(m.start, {REACH}L) as int)), substring(text, cast(m.end as int) + 1, {REACH}))"
+    # one context of each entity in a document: the least
+    held = F.expr(f"array_sort(transform(base, m -> named_struct('entity', concat(m.kind, ':', lower(m.value)), 'context', {around})))")
+    rows = found.where("size(base) > 0").select(F.expr(_terms("text")).alias("terms"), held.alias("held"))
+    rows = rows.select("terms", F.explode(F.expr("filter(held, (x, i) -> i = 0 or held[greatest(i - 1, 0)].entity != x.entity)")).alias("x")).select("terms", "x.entity", "x.context")
+    often = materialize(rows.groupBy("entity").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= least).select("entity"), "entities")
+    bound = often.agg(F.coalesce(F.sum(F.expr("64 + octet_length(entity)")), F.lit(0))).first()[0]
+    near = rows.join(F.broadcast(often) if bound <= BROADCAST_BYTES else often, "entity").select("entity", "context", F.explode("terms").alias("term"))
     return near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("m")).groupBy("entity", "term").agg(F.sum("m").alias("both"), F.count(F.lit(1)).alias("contexts"))
 
 
@@ -107,19 +110,21 @@ def _every_occurrence(rows: DataFrame, telling: DataFrame) -> DataFrame:
     return texts.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.expr(places).alias("more")).groupBy("_doc", "_mark").agg(F.first("more").alias("more"))
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = 0.5, removal: float = 0.9, min_contexts: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = 0.5, removal: float = 0.9, prior: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document and text: ``doc``, ``mark`` (hash of the text), ``base`` and ``spans`` (base and terms), in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
     found = rows.withColumn("base", F.expr(base_spans("text")))
     # texts with spans go along once, for their contexts; of others only the id
     found = materialize(found.withColumn("text", F.expr("if(size(base) > 0, text, null)")), "spans")
-    pairs = materialize(_pairs(found).where(F.col("contexts") >= min_contexts), "pairs")
+    # no share of fewer contexts reaches ``disclosure``
+    least = max(1, ceil(disclosure * prior / (1 - disclosure) - 1e-9)) if disclosure < 1 else 1
+    pairs = materialize(_pairs(found, least).where(F.col("contexts") >= least), "pairs")
     found, telling = found.drop("text"), None
     if not pairs.isEmpty():
         # all words are counted, then joined: what is joined follows the pairs, not the texts
-        said = rows.select(F.explode(F.expr(_words("text"))).alias("word")).groupBy(F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-        share = pairs.join(said, "term").select("term", (F.col("both") / F.greatest("n", "both")).alias("share")).where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("share"))
+        said = rows.select(F.explode(F.expr(_terms("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        share = pairs.join(said, "term").select("term", (F.col("both") / F.greatest("n", "both") * F.col("contexts") / (F.col("contexts") + prior)).alias("share")).where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("share"))
         telling = materialize(share.select("term", F.when(F.col("share") >= removal, "").otherwise("[TERM]").alias("value")), "telling")
     if telling is not None and not telling.isEmpty():
         more = _every_occurrence(rows, telling)

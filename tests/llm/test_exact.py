@@ -328,6 +328,17 @@ def test_disclosing_terms_away_from_their_entity(spark):
     assert [s["value"] for s in found["spans"] if s["kind"] == 4] == ["[TERM]", "[TERM]"]
 
 
+def test_disclosing_terms_of_any_kind_anywhere_in_the_document(spark):
+    """A name far from its address, a short one, one with digits, and one of an entity with two contexts."""
+    far = "who runs the harbour office in town and has done so for a long time with all that goes on there every day of the year mail"
+    rows = [(i, f"{cases.WORDS[i]} zanzibarius or li or k9x {far} x@y.org {cases.WORDS[i + 7]}") for i in range(5)] + [(10 + i, f"{cases.WORDS[i]} quorvex {far} p@q.org") for i in range(2)]
+    rows += [(20 + i, f"{far} or {cases.WORDS[i]} {i}") for i in range(40)]
+    rows[6] = (11, rows[6][1] + " and more")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(cases.frame(spark, rows)).collect()}
+    assert all(not {"zanzibarius", "li", "k9x", "quorvex"} & set(t.split()) for t in clean.values())
+    assert all(clean[d] == t for d, t in rows if d >= 20)
+
+
 def test_sanitise(spark):
     rows = [(1, "a@b.cd, +49 (30) 123-45678 and 1.2.3.4"), (2, None), (3, "clean"), (3, "clean"), (None, "x@y.zz")]
     df = cases.frame(spark, rows, clash=("_mark", "value"))
