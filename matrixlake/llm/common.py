@@ -50,6 +50,7 @@ def task(owner: str):
         @functools.wraps(work)
         def run(batches):
             _claim(owner)
+            _trim()
             try:
                 yield from work(batches)
             finally:
@@ -73,6 +74,7 @@ def _claim(owner: str) -> None:
 
 
 def _trim() -> None:
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -84,9 +86,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one in the local temporary folder."""
+    """The folder in spark.checkpoint.dir; one in the local temporary folder only where that is unset and Spark runs in this process alone (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    return (root or os.path.join(tempfile.gettempdir(), "matrixlake-checkpoints")).rstrip("/") + "/matrixlake"
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "matrixlake-checkpoints")
+    return root.rstrip("/") + "/matrixlake"
+
+
+def unused(columns, name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns (Spark does not tell case apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -116,7 +130,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     with dropping_shuffles(spark):
         df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no result reads any more, before the driver ends."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
 
 
 def as_bytes(column: pa.Array) -> pa.Array:
@@ -157,10 +179,13 @@ cached_by("words", _words.clear)
 
 def hash_words(texts: list, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without ASCII white space) and each text's number of words."""
-    split = [(t.lower() if lower else t).split() if t else () for t in texts]
+    return hash_split([(t.lower() if lower else t).split() if t else () for t in texts])
+
+
+def hash_split(split: list) -> tuple[np.ndarray, np.ndarray]:
+    """The same for texts that are lists of words already."""
     n = np.fromiter(map(len, split), np.int64, len(split))
-    total = int(n.sum())
-    return np.fromiter((h for words in split for h in map(_words.__getitem__, words)), np.uint64, total), n
+    return np.fromiter((h for words in split for h in map(_words.__getitem__, words)), np.uint64, int(n.sum())), n
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -191,6 +216,11 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return out[:n]
 
 
+def bits_for(n: int, most: int = BITMAP_BITS) -> int:
+    """So many bits that at most one in sixteen is set by n keys, while the bitmap stays below 2**most bits (16 MB)."""
+    return min(most, max(16, (16 * n).bit_length()))
+
+
 def bitmap_of(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """Bitmap over the top bits of 64-bit hashes: at most 2**bits bits reach the driver, whatever the number of keys."""
     slot = F.expr(f"shiftrightunsigned({column}, {64 - bits})")

@@ -5,18 +5,20 @@ is one window). A window must be contained exactly, so the prefix that a set
 join at containment 1 has to look up is one shingle: the window's rarest, by
 counts over all documents. A document position that holds that shingle fixes
 where the window would start; the window has to lie inside the document (length
-and position bound) and is then compared word by word.
+and position bound) and its words are then compared.
 
-Documents are only scanned (once to count shingles, once to match); nothing is
-shuffled but the counts. Only words of the benchmark get numbers, all others are
-0. The index of windows is broadcast while its items' texts are below
-``block_bytes``; a larger benchmark is worked off in blocks of items of that
-size, one scan each, whose finds are appended to the rows.
+Windows, shingles, counts and candidates are tables, so neither an item nor the
+benchmark has a bound in size. Documents are scanned twice (to count shingles, to
+list positions that may hold a prefix); bitmaps of bounded size keep what cannot
+match from being a row: a bit set by another shingle costs work, never a result.
+Tables are broadcast below ``BROADCAST_BYTES`` by their counted size, else joined
+by a shuffle.
 
 Defined results: a null or wordless text has no words, no hits and no items and
 is not contaminated; null or wordless items match nothing; items with the same
 id are one item with several texts; repeated documents are judged one by one; an
-empty benchmark leaves every document clean. Other columns pass through.
+empty benchmark leaves every document clean. ``find_contamination`` ignores other
+columns, ``drop_contaminated`` keeps them.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import slices, task
+from matrixlake.llm.common import bitmap_of, bits_for, hash_split, in_bitmap, materialize, mix, slices, task, unused, window_hashes
 
 LENGTH = 13
 SHINGLE = 3
-BLOCK_BYTES = 8 << 20  # so few distinct words that three word numbers fit 63 bits
+BROADCAST_BYTES = 32 << 20
+#: windows of an item that are handed on at a time
+PART = 20_000
 #: A-Z to a-z; a word is a run of 0-9, a-z and what is beyond ASCII
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -41,180 +45,157 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-class Index:
-    """Windows of one block of items, and their shingles by length (shorter items have shorter shingles)."""
-
-    def __init__(self, items: list[tuple[object, bytes]], length: int):
-        self.length = length
-        self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
-            for i in range(max(1, len(w) - length + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + length]), set()).add(item)
-        self.windows = list(found)
-        self.items = [sorted(found[w]) for w in self.windows]
-        self.base = np.int64(len(self.number) + 1)
-        self.sizes = sorted({len(w) for w in self.windows})
-        by_size: dict[int, set[int]] = {}
-        for w in self.windows:
-            k = min(SHINGLE, len(w))
-            by_size.setdefault(k, set()).update(self.key(w[i : i + k]) for i in range(len(w) - k + 1))
-        self.shingles = {k: np.array(sorted(v), np.int64) for k, v in by_size.items()}
-
-    def key(self, w) -> int:
-        out = 0
-        for x in w:
-            out = out * int(self.base) + x
-        return out
-
-    def keys(self, ids: np.ndarray, k: int) -> np.ndarray:
-        n = max(0, len(ids) - k + 1)
-        out = ids[:n].copy()
-        bad = ids[:n] == 0
-        for j in range(1, k):
-            out = out * self.base + ids[j : j + n]
-            bad |= ids[j : j + n] == 0
-        out[bad] = -1
-        return out
-
-    def choose(self, counts: dict[int, dict[int, int]]) -> None:
-        """By shingle length: the rarest shingle of each window, sorted, with the window and where it lies in it."""
-        self.prefix = {}
-        for k in self.shingles:
-            got = []
-            for i, w in enumerate(self.windows):
-                if min(SHINGLE, len(w)) == k:
-                    keys = [self.key(w[j : j + k]) for j in range(len(w) - k + 1)]
-                    j = min(range(len(keys)), key=lambda j: (counts.get(k, {}).get(keys[j], 0), keys[j], j))
-                    if counts.get(k, {}).get(keys[j], 0):  # a window with a shingle that no document has occurs nowhere
-                        got.append((keys[j], i, j))
-            got.sort()
-            self.prefix[k] = tuple(np.array([g[x] for g in got], np.int64) for x in range(3))
-        self.matrix = {n: np.array([w for w in self.windows if len(w) == n], np.int64) for n in self.sizes}
-        row: dict[int, int] = {}
-        self.row = np.zeros(len(self.windows), np.int64)
-        for i, w in enumerate(self.windows):
-            self.row[i] = row.setdefault(len(w), 0)
-            row[len(w)] += 1
-        self.size = np.array([len(w) for w in self.windows], np.int64)
-
-    def ids(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        split = [words(t) for t in texts]
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        get, total = self.number.get, int(n.sum())
-        return np.fromiter((get(x, 0) for w in split for x in w), np.int64, total), n
+def shingle_keys(h: np.ndarray, k: int) -> np.ndarray:
+    return mix(window_hashes(h, k) + np.uint64(k))
 
-    def matches(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, window) of every occurrence in the concatenated texts."""
-        ends = np.cumsum(n)
-        owner = np.repeat(np.arange(len(n)), n)
-        starts, wins = [], []
-        for k, (keys, win, offset) in self.prefix.items():
-            if not len(keys):
-                continue
-            mine = self.keys(ids, k)
-            held = np.flatnonzero(mine >= 0)
-            lo, hi = (np.searchsorted(keys, mine[held], side=s) for s in ("left", "right"))
-            some = hi > lo
-            held, lo, many = held[some], lo[some], (hi - lo)[some]
-            at = np.repeat(held, many)
-            which = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-            start, w = at - offset[which], win[which]
-            inside = (start >= (ends - n)[owner[at]]) & (start + self.size[w] <= ends[owner[at]])
-            start, w = start[inside], w[inside]
-            for size in self.sizes:
-                same = self.size[w] == size
-                s, v = start[same], w[same]
-                for a in range(0, len(s), 65536):
-                    equal = (ids[s[a : a + 65536, None] + np.arange(size)] == self.matrix[size][self.row[v[a : a + 65536]]]).all(1)
-                    starts.append(s[a : a + 65536][equal])
-                    wins.append(v[a : a + 65536][equal])
-        return (np.concatenate(starts), np.concatenate(wins)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, length: int, block_bytes: int) -> Iterator[Index]:
+
+def _windows(benchmark: DataFrame, item_col: str, text_col: str, length: int) -> DataFrame:
+    """(item, w, n, k, shingles): each window of each item, as its words joined by blanks, with its n - k + 1 shingles of k words."""
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.expr(f"pmod(xxhash64(item), {blocks}) = {b}"))
-        yield Index([(r["item"], r["text"].encode()) for r in part.collect()], length)
+
+    @task("words")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            for i, w in enumerate(map(words, texts)):
+                n = min(length, len(w))
+                k = min(SHINGLE, n)
+                for a in range(0, len(w) - n + 1 if n else 0, PART):
+                    some = w[a : a + PART + n - 1]
+                    many, each = len(some) - n + 1, n - k + 1
+                    keys = np.lib.stride_tricks.sliding_window_view(shingle_keys(hash_split([some])[0], k), each)
+                    columns = [
+                        part.column(0).take(pa.array(np.full(many, i))),
+                        pa.array([b" ".join(some[j : j + n]) for j in range(many)], pa.binary()),
+                        pa.array(np.full(many, n, np.int32)),
+                        pa.array(np.full(many, k, np.int32)),
+                        pa.ListArray.from_arrays(np.arange(many + 1, dtype=np.int32) * each, pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64))),
+                    ]
+                    yield pa.record_batch(columns, names=["item", "w", "n", "k", "shingles"])
+
+    kind = rows.schema["item"].dataType.simpleString()
+    return rows.mapInArrow(cut, f"item {kind}, w binary, n int, k int, shingles array<long>")
+
+
+def _listed(sizes: list[int], bitmap: bytes, bits: int):
+    """Of each slice of texts: words, hashes, and by k the positions whose shingle may be in the bitmap."""
+
+    def work(texts: list):
+        split = [words(t) for t in texts]
+        h, n = hash_split(split)
+        owner = np.repeat(np.arange(len(n)), n)
+        found = []
+        for k in sizes:
+            keys = shingle_keys(h, k)
+            ok = in_bitmap(np.frombuffer(bitmap, np.uint8), keys, bits)
+            ok &= owner[: len(keys)] == owner[k - 1 :][: len(keys)]
+            at = np.flatnonzero(ok)
+            found.append((k, at, keys[at]))
+        return split, n, owner, found
+
+    return work
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``n_words``, ``hits`` (spans of hit words, merged within a block, end exclusive) and ``items`` (ids found, sorted)."""
+def _hits(docs: DataFrame, benchmark: DataFrame, length: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, mark, n_words) of every row; (doc, mark, n_hit, hits, items) of the documents, by id and hash of the text, that some window occurs in."""
     spark = docs.sparkSession
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    taken = {"n_words", "hits", "items"}
-    texts = docs.select(F.col(text_col).alias("text"))
-    out = docs.drop(*(c for c in docs.columns if c in taken)).withColumns({"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<start:long,end:long>>)"), "items": F.expr(f"cast(array() as array<{item_type}>)")})
-    for index in _indexes(benchmark, item_col, item_text_col, length, block_bytes):
-        sent = spark.sparkContext.broadcast(index)
-
-        @task("decontamination")
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, total = sent.value, {k: np.zeros(len(v), np.int64) for k, v in sent.value.shingles.items()}
-            for _, part in slices(batches, "text"):
-                ids, _ = index.ids(part)
-                for k, known in index.shingles.items():
-                    keys = index.keys(ids, k)
-                    keys = keys[keys >= 0]
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    total[k] += np.bincount(at[known[at] == keys], minlength=len(known))
-            for k, n in total.items():
-                some = n > 0
-                yield pa.record_batch([pa.array(np.full(int(some.sum()), k, np.int32)), pa.array(index.shingles[k][some]), pa.array(n[some])], names=["k", "shingle", "n"])
-
-        counts: dict[int, dict[int, int]] = {}
-        if index.windows:
-            # at most as many rows as the block has shingles; a count over the text's end only shifts the order
-            for r in texts.mapInArrow(count, "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n")).collect():
-                counts.setdefault(r["k"], {})[r["shingle"]] = r["n"]
-        index.choose(counts)
-        ready = spark.sparkContext.broadcast(index)
-        names = out.columns
-
-        @task("decontamination")
-        def match(batches: Iterator[pa.RecordBatch], ready=ready, names=names) -> Iterator[pa.RecordBatch]:
-            index = ready.value
-            for rows, part in slices(batches, text_col):
-                ids, n = index.ids(part)
-                start, win = index.matches(ids, n)
-                hits, items = rows.column(names.index("hits")).to_pylist(), rows.column(names.index("items")).to_pylist()
-                edge = np.zeros(len(ids) + 1, np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + index.size[win], -1)
-                hit = np.cumsum(edge[:-1]) > 0
-                owner = np.repeat(np.arange(len(n)), n)
-                first = np.cumsum(n) - n
-                turn = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0) | (np.diff(owner, prepend=-1, append=-1) != 0))
-                for lo, hi in zip(turn[:-1].tolist(), turn[1:].tolist(), strict=True):
-                    if hit[lo]:
-                        d = int(owner[lo])
-                        hits[d] = [*hits[d], {"start": lo - int(first[d]), "end": hi - int(first[d])}]
-                pair = np.unique(owner[start] * np.int64(len(index.windows) + 1) + win) if len(start) else ()
-                for p in np.asarray(pair, np.int64).tolist():
-                    d, w = divmod(p, len(index.windows) + 1)
-                    items[d] = [*items[d], *index.items[w]]
-                columns = {name: rows.column(i) for i, name in enumerate(names)}
-                columns["n_words"] = pa.array(n, pa.int64())
-                columns["hits"] = pa.array(hits, rows.schema.field("hits").type)
-                columns["items"] = pa.array([sorted(set(x)) for x in items], rows.schema.field("items").type)
-                yield pa.record_batch(list(columns.values()), names=names)
-
-        out = out.mapInArrow(match, out.schema)
-    return out
-
-
-#: number of words in the union of the spans, in SQL functions
-_COVERED = """aggregate(array_sort(hits), named_struct('n', 0L, 'to', 0L),
-  (s, x) -> named_struct('n', s.n + greatest(0L, x.end - greatest(x.start, s.to)), 'to', greatest(s.to, x.end)), s -> s.n)"""
+    windows = materialize(_windows(benchmark, item_col, item_text_col, length), "windows")
+    sizes = [r["k"] for r in windows.select("k").distinct().orderBy("k").collect()]
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.select(F.col(id_col).alias("doc"), mark.alias("mark"), F.col(text_col).alias("text"))
+
+    once = windows.groupBy("w").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first("shingles").alias("shingles"))
+    placed = materialize(once.select("w", "n", "k", F.posexplode("shingles").alias("j", "shingle")), "shingles")
+    known = placed.select("shingle").distinct()
+    bits = bits_for(placed.count())
+    sent = spark.sparkContext.broadcast(bitmap_of(known, "shingle", bits).tobytes())
+
+    @task("words")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = _listed(sizes, sent.value, bits)
+        for _, part in slices(batches, "text"):
+            key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(keys for _, _, keys in work(part)[3])]), return_counts=True)
+            if len(key):
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "m"])
+
+    counts = texts.select("text").mapInArrow(count, "shingle long, m long").groupBy("shingle").agg(F.sum("m").alias("m"))
+    # a window with a shingle that no document has occurs nowhere
+    rarest = placed.join(counts, "shingle", "left").groupBy("w", "n", "k").agg(F.min(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "shingle", "j")).alias("x"))
+    prefix = materialize(rarest.where("x.m > 0").select("w", "n", "k", "x.shingle", "x.j"), "prefix")
+    n_prefix, bytes_prefix = prefix.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("w") + 64), F.lit(0))).first()
+    bits2 = bits_for(n_prefix)
+    sent2 = spark.sparkContext.broadcast(bitmap_of(prefix, "shingle", bits2).tobytes())
+
+    @task("words")
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = _listed(sizes, sent2.value, bits2)
+        for rows, part in slices(batches, "text"):
+            split, n, owner, found = work(part)
+            first = np.cumsum(n) - n
+            for k, at, keys in found:
+                for a in range(0, len(at), PART):
+                    p, own = at[a : a + PART], owner[at[a : a + PART]]
+                    pos = p - first[own]
+                    lo = np.maximum(0, pos - (length - k))
+                    around = [b" ".join(split[d][x : i + length]) for d, x, i in zip(own.tolist(), lo.tolist(), pos.tolist(), strict=True)]
+                    take = pa.array(own)
+                    columns = [rows.column(0).take(take), rows.column(1).take(take), pa.array(n[own]), pa.array(keys[a : a + PART].view(np.int64)), pa.array(pos.astype(np.int64)), pa.array((pos - lo).astype(np.int32)), pa.array(around, pa.binary())]
+                    yield pa.record_batch(columns, names=names)
+            none = [pa.nulls(len(n), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+            yield pa.record_batch([rows.column(0), rows.column(1), pa.array(n), *none], names=names)
+
+    kind = texts.schema["doc"].dataType.simpleString()
+    names = ["doc", "mark", "n_words", "shingle", "pos", "before", "around"]
+    seen = materialize(texts.mapInArrow(look, f"doc {kind}, mark long, n_words long, shingle long, pos long, before int, around binary"), "seen")
+    both = seen.where("shingle is not null").join(F.broadcast(prefix) if bytes_prefix <= BROADCAST_BYTES else prefix, "shingle").where("before >= j")
+    same = F.expr("array_join(slice(split(cast(around as string), ' '), before - j + 1, n), ' ') = cast(w as string)")
+    hits = materialize(both.where(same).select("doc", "mark", (F.col("pos") - F.col("j")).alias("start"), F.col("n").cast("long").alias("n"), "w").distinct(), "hits")
+
+    spans = hits.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("hits"))
+
+    @task("words")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            held, covered = [], []
+            for x in rows.column(2).to_pylist():
+                s = np.array(sorted((h["start"], h["end"]) for h in x), np.int64).reshape(-1, 2)
+                reach = np.maximum.accumulate(s[:, 1])
+                new = np.r_[True, s[1:, 0] > reach[:-1]]
+                lo, hi = s[new, 0], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]]
+                held.append([{"start": a, "end": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+                covered.append(int((hi - lo).sum()))
+            yield pa.record_batch([rows.column(0), rows.column(1), pa.array(covered, pa.int64()), pa.array(held, rows.schema.field(2).type)], names=["doc", "mark", "n_hit", "hits"])
+
+    spans = spans.mapInArrow(merge, f"doc {kind}, mark long, n_hit long, hits array<struct<start:long,end:long>>")
+    of = windows.select("w", "item").distinct()
+    listed = hits.select("doc", "mark", "w").distinct().join(of, "w").groupBy("doc", "mark").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = listed.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "items")
+    out = spans.join(listed, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")))
+    return seen.where("shingle is null").select("doc", "mark", "n_words"), materialize(out.select("doc", "mark", "n_hit", "hits", "items"), "contaminated")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row per row of ``docs``: id, ``mark`` (hash of the text), ``n_words``, ``n_hit``, ``hits`` (merged spans of hit words, end exclusive) and ``items`` (ids found, sorted)."""
+    rows, found = _hits(docs, benchmark, length, id_col, text_col, item_col, item_text_col)
+    bound = found.agg(F.coalesce(F.sum(F.expr("64 + 16 * size(hits) + 32 * size(items)")), F.lit(0))).first()[0]
+    found = found.withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
+    joined = rows.join(F.broadcast(found) if bound <= BROADCAST_BYTES else found, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
+    none = [F.lit(0).cast("long"), *(F.array().cast(found.schema[c].dataType) for c in ("hits", "items"))]
+    return joined.select(F.col("doc").alias(id_col), "mark", "n_words", *(F.coalesce(c, x).alias(c) for c, x in zip(("n_hit", "hits", "items"), none, strict=True)))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs``, all columns, without the documents that ``judge`` finds contaminated; only id and text pass through Python."""
+    found = judge(find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options), share)
+    gone = materialize(found.where("contaminated").select(F.col(id_col).alias("doc"), "mark").distinct(), "gone")
+    bound = gone.agg(F.coalesce(F.sum(32 + F.length(F.col("doc").cast("string"))), F.lit(0))).first()[0]
+    mine = unused(docs.columns, "mark"), unused(docs.columns, "doc")
+    gone = gone.select(F.col("doc").alias(mine[1]), F.col("mark").alias(mine[0]))
+    return docs.join(F.broadcast(gone) if bound <= BROADCAST_BYTES else gone, docs[id_col].eqNullSafe(gone[mine[1]]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone[mine[0]]), "left_anti")
 
 
 def judge(found: DataFrame, share: int = 20) -> DataFrame:
-    """Adds ``n_hit``, ``n_items`` and ``contaminated``: some word is hit, and one word in ``share`` at least."""
-    return found.withColumn("n_hit", F.expr(_COVERED)).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
+    """Adds ``n_items`` and ``contaminated``: some word is hit, and one word in ``share`` at least."""
+    return found.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

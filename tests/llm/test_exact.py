@@ -120,14 +120,29 @@ def contaminated(docs, items):
 ITEMS = [(1, cases.PASSAGE), (2, "Two, WORDS!"), (3, None), (4, ""), (5, "one"), (6, cases.PASSAGE + " and more of it here to be seen by all"), (1, "3 14"), (None, "one"), (7, " ".join(cases.PASSAGE.split()[5:25]))]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("broadcast", [decontamination.BROADCAST_BYTES, -1])
+def test_decontamination(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    df = cases.frame(spark, clash=("items", "hits", "n_words", "k"))
-    found = decontamination.judge(decontamination.find_contamination(df, bench, block_bytes=block))
+    df = cases.frame(spark, clash=("items", "hits", "n_words", "k", "_mark", "mark", "doc"))
+    found = decontamination.judge(decontamination.find_contamination(df, bench))
     got = rows_of(found.withColumn("listed", F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>")))), "doc_id", "n_words", "n_hit", "listed")
     assert got == contaminated(cases.texts(), ITEMS)
     assert found.where("contaminated <> (n_hit > 0 and 20 * n_hit >= n_words)").isEmpty()
+    assert found.where("n_hit <> aggregate(hits, 0L, (s, x) -> s + x.end - x.start)").isEmpty()
+    left = decontamination.drop_contaminated(df, bench)
+    assert left.columns == df.columns and left.where("_mark <> 'extra _mark' or mark <> 'extra mark' or doc <> 'extra doc'").isEmpty()
+    assert rows_of(left, "doc_id") == rows_of(found.where("not contaminated"), "doc_id")
+
+
+def test_decontamination_by_a_very_long_item(spark, monkeypatch):
+    """An item of 200,000 distinct words, in many parts, and a document that holds a stretch across two of them."""
+    monkeypatch.setattr(decontamination, "PART", 7000)
+    w = [f"w{i}x" for i in range(200_000)]
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[50:80]))], "item_id long, text string")
+    rows = [(1, "before " + " ".join(w[6990:7020]) + " after"), (2, " ".join(w[55:75])), (3, " ".join(w[100_000:100_012])), (4, None), (5, " ".join(w[40_000:160_000]))]
+    found = decontamination.find_contamination(cases.frame(spark, rows), bench)
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in found.collect()} == {1: (30, [1]), 2: (20, [1, 2]), 3: (0, []), 4: (0, []), 5: (120_000, [1])}
 
 
 def test_decontamination_without_rows(spark):
