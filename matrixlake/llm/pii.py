@@ -28,7 +28,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import materialize
+from matrixlake.llm.common import materialize, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: kind -> (pattern, test on the value x, text that any match needs)
@@ -52,14 +52,51 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def spans(text: str, pattern: str, kind: int, test: str = "true") -> str:
-    """SQL: matches of a pattern as (start, kind, end, value), from the gaps between them; both are taken once."""
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(x: str, zero: str, op: str, depth: int = 4) -> str:
+    """SQL: for each place of the array ``x`` (a bound name; of what ``op`` gives) the sum, or other ``op`` of ``s`` and ``y``, of what stands before it.
+
+    Blocks of 16 are summed first, and their sums in the same way, so that the
+    cost follows the array's length; growing an array match by match would follow its square.
+    """
+    fold = lambda part, start: f"aggregate({part}, {start}, (s, y) -> {op})"
+    if not depth:
+        return f"transform({x}, (v, i) -> {fold(f'slice({x}, 1, i)', zero)})"
+    b, q = f"b{depth}", f"q{depth}"
+    blocks = f"transform(sequence(0, (size({x}) - 1) div 16), k -> {fold(f'slice({x}, cast(k * 16 + 1 as int), 16)', zero)})"
+    inside = f"transform({x}, (v, i) -> {fold(f'slice({x}, i - i % 16 + 1, i % 16)', f'{q}[cast(i div 16 as int)]')})"
+    return _let(blocks, b, _let(running(b, zero, op, depth - 1), q, inside))
+
+
+def _matches(text: str, pattern: str, kind: int, value: str) -> str:
+    """SQL: matches of a pattern as (start, kind, end, value), from the lengths of the gaps between them; ``value`` may use the match ``w``."""
     quoted = _quoted(pattern)
-    return f"""filter(aggregate(zip_with(split({text}, '{quoted}', -1), regexp_extract_all({text}, '{quoted}', 0), (g, h) -> named_struct('g', g, 'h', h)),
-      named_struct('at', 0L, 'out', cast(array() as {_SPANS})),
-      (s, p) -> if(p.h is null, s, named_struct('at', s.at + length(p.g) + length(p.h), 'out', array_append(s.out,
-        named_struct('start', s.at + length(p.g), 'kind', {kind}, 'end', s.at + length(p.g) + length(p.h), 'value', p.h)))),
-      s -> s.out), m -> exists(array(m.value), x -> {test}))"""
+    found = f"transform(h, (w, i) -> named_struct('start', p[i] + length(g[i]), 'kind', {kind}, 'end', p[i] + length(g[i]) + length(w), 'value', {value}))"
+    lengths = "transform(h, (w, i) -> cast(length(g[i]) + length(w) as bigint))"
+    found = _let(lengths, "l", _let(running("l", "0L", "s + y"), "p", found))
+    return _let(f"split({text}, '{quoted}', -1)", "g", _let(f"regexp_extract_all({text}, '{quoted}', 0)", "h", f"if(size(h) = 0, cast(array() as {_SPANS}), {found})"))
+
+
+def spans(text: str, pattern: str, kind: int, test: str = "true") -> str:
+    return f"filter({_matches(text, pattern, kind, 'w')}, m -> exists(array(m.value), x -> {test}))"
+
+
+#: a text in pieces of equal length, since what is cut from a string is looked for from its beginning
+CHUNK = 1024
+_CHUNKS = f"regexp_extract_all({{}}, '(?s).{{{{1,{CHUNK}}}}}', 0)"
+
+
+def _chunks(text: str) -> str:
+    return _CHUNKS.format(text)
+
+
+def _cut(chunks: str, start: str, end: str) -> str:
+    """SQL: the characters from ``start`` to ``end`` of a text in chunks."""
+    inside = f"substring({chunks}[cast(k as int)], cast(greatest({start} - k * {CHUNK}, 0L) as int) + 1, cast(least({end} - k * {CHUNK}, {CHUNK}L) - greatest({start} - k * {CHUNK}, 0L) as int))"
+    return f"if({end} > {start}, array_join(transform(sequence({start} div {CHUNK}, ({end} - 1) div {CHUNK}), k -> {inside}), ''), '')"
 
 
 def base_spans(text: str) -> str:
@@ -81,11 +118,11 @@ def _terms(text: str) -> str:
 
 def _pairs(found: DataFrame, least: int) -> DataFrame:
     """(entity, term, both, contexts): documents that hold both, and in how many different contexts; entities with fewer than ``least`` cannot tell."""
-    around = f"xxhash64(substring(text, cast(greatest(0L, m.start - {REACH}) as int) + 1, cast(least(m.start, {REACH}L) as int)), substring(text, cast(m.end as int) + 1, {REACH}))"
+    around = f"xxhash64({_cut('chunks', f'greatest(0L, m.start - {REACH})', 'm.start')}, {_cut('chunks', 'm.end', f'least(m.end + {REACH}, size)')})"
     # one context of each entity in a document: the least
     held = F.expr(f"array_sort(transform(base, m -> named_struct('entity', concat(m.kind, ':', lower(m.value)), 'context', {around})))")
-    rows = found.where("size(base) > 0").select(F.expr(_terms("text")).alias("terms"), held.alias("held"))
-    rows = rows.select("terms", F.explode(F.expr("filter(held, (x, i) -> i = 0 or held[greatest(i - 1, 0)].entity != x.entity)")).alias("x")).select("terms", "x.entity", "x.context")
+    rows = found.where("size(base) > 0").withColumns({"chunks": F.expr(_chunks("text")), "size": F.length("text").cast("long")}).select(F.expr(_terms("text")).alias("terms"), held.alias("held"))
+    rows = rows.select("terms", F.inline(F.expr("filter(held, (x, i) -> i = 0 or held[greatest(i - 1, 0)].entity != x.entity)")))
     often = materialize(rows.groupBy("entity").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= least).select("entity"), "entities")
     bound = often.agg(F.coalesce(F.sum(F.expr("64 + octet_length(entity)")), F.lit(0))).first()[0]
     near = rows.join(F.broadcast(often) if bound <= BROADCAST_BYTES else often, "entity").select("entity", "context", F.explode("terms").alias("term"))
@@ -100,12 +137,7 @@ def _every_occurrence(rows: DataFrame, telling: DataFrame) -> DataFrame:
     hits = materialize(hits.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.map_from_entries("hits").alias("hits")), "hits")
     bound = hits.agg(F.coalesce(F.sum(F.expr("64 + aggregate(map_keys(hits), 0L, (s, t) -> s + 64 + octet_length(t))")), F.lit(0))).first()[0]
     texts = rows.join(F.broadcast(hits) if bound <= BROADCAST_BYTES else hits, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")))
-    # only hits are appended: the cost follows the words
-    places = f"""aggregate(zip_with(split(text, '{_quoted(TERM)}', -1), {_words("text")}, (g, h) -> named_struct('g', g, 'h', h, 'v', try_element_at(hits, lower(h)))),
-      named_struct('at', 0L, 'out', cast(array() as {_SPANS})),
-      (s, p) -> if(p.h is null, s, named_struct('at', s.at + length(p.g) + length(p.h), 'out', if(p.v is null, s.out, array_append(s.out,
-        named_struct('start', s.at + length(p.g), 'kind', 4, 'end', s.at + length(p.g) + length(p.h), 'value', p.v))))),
-      s -> s.out)"""
+    places = f"filter({_matches('text', TERM, 4, 'try_element_at(hits, lower(w))')}, x -> x.value is not null)"
     # a repeated row has the places of the first
     return texts.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.expr(places).alias("more")).groupBy("_doc", "_mark").agg(F.first("more").alias("more"))
 
@@ -131,8 +163,16 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.5, removal: float
         out = found.join(more, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left").drop("_doc", "_mark")
     else:
         out = found.withColumn("more", F.lit(None).cast(_SPANS))
-    clear = F.expr(f"filter(coalesce(more, cast(array() as {_SPANS})), x -> not exists(base, b -> b.start < x.end and x.start < b.end))")
-    return out.withColumn("more", clear).select("doc", "mark", "base", F.expr("array_sort(concat(base, more))").alias("spans"))
+    return out.select("doc", "mark", "base", F.expr(f"if(more is null or size(more) = 0, base, {_without_overlaps('base', 'more')})").alias("spans"))
+
+
+def _without_overlaps(base: str, more: str) -> str:
+    """SQL: both kinds of spans in order, without those of ``more`` that overlap one of ``base``: by the last end before and the first start after."""
+    far = "9223372036854775807L"
+    ends = _let("transform(a, x -> if(x.kind < 4, x.end, 0L))", "z", running("z", "0L", "greatest(s, y)"))
+    starts = _let(f"transform(r, x -> if(x.kind < 4, x.start, {far}))", "z", running("z", far, "least(s, y)"))
+    kept = "filter(a, (x, i) -> x.kind < 4 or (e[i] <= x.start and f[size(a) - 1 - i] >= x.end))"
+    return _let(f"array_sort(concat({base}, {more}))", "a", _let("reverse(a)", "r", _let(ends, "e", _let(starts, "f", kept))))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -140,16 +180,19 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = find_personal_data(docs, id_col=id_col, text_col=text_col, **options).where("size(spans) > 0").select("doc", "mark", "spans").dropDuplicates(["doc", "mark"])
     labels = ", ".join(f"'[{k.upper()}]'" for k in KINDS[:4])
     # overlapping spans are replaced once, from where the text has been copied to
-    rebuilt = f"""aggregate(_spans, named_struct('at', 0L, 'out', cast(array() as array<string>)),
-      (s, x) -> if(x.end <= s.at, s, named_struct('at', x.end, 'out', concat(s.out, array(
-        substring(`{text_col}`, cast(s.at as int) + 1, cast(greatest(0L, x.start - s.at) as int)), if(x.kind = 4, x.value, array({labels})[x.kind]))))),
-      s -> concat(array_join(s.out, ''), substring(`{text_col}`, cast(s.at as int) + 1)))"""
+    label = f"if(x.kind = 4, x.value, array({labels})[x.kind])"
+    parts = f"transform(_spans, (x, i) -> concat({_cut('c', 't[i]', 'x.start')}, if(x.end > t[i], {label}, '')))"
+    last = "aggregate(_spans, 0L, (s, y) -> greatest(s, y.end))"
+    tail = _cut("c", last, f"cast(length(`{text_col}`) as bigint)")
+    rebuilt = _let(_chunks(f"`{text_col}`"), "c", _let(_let("transform(_spans, x -> x.end)", "z", running("z", "0L", "greatest(s, y)")), "t", f"concat(array_join({parts}, ''), {tail})"))
+    mark, doc, held = (unused(docs.columns, c) for c in ("_mark", "_doc", "_spans"))
+    rebuilt = rebuilt.replace("_spans", f"`{held}`")
     found = materialize(found, "found")
     bound = found.agg(F.coalesce(F.sum(F.expr("64 + 64 * size(spans)")), F.lit(0))).first()[0]
-    keyed = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = found.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark2"), F.col("spans").alias("_spans"))
-    joined = keyed.join(F.broadcast(found) if bound <= BROADCAST_BYTES else found, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_mark2")), "left")
-    return joined.withColumn(text_col, F.expr(f"if(_spans is null, `{text_col}`, {rebuilt})")).select(*docs.columns)
+    found = found.toDF(doc, mark, held)
+    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    joined = docs.join(F.broadcast(found) if bound <= BROADCAST_BYTES else found, docs[id_col].eqNullSafe(found[doc]) & (key == found[mark]), "left")
+    return joined.withColumn(text_col, F.expr(f"if(`{held}` is null, `{text_col}`, {rebuilt})")).select(*docs.columns)
 
 
 def _listed(column: str) -> F.Column:

@@ -363,7 +363,39 @@ def test_sanitise(spark):
 
 def test_long_digit_runs_end_in_time(spark):
     rows = [(1, "1" * 200_000), (2, "a" * 200_000), (3, "1.1" * 50_000), (4, "+" * 100_000), (5, "1 " * 100_000)]
-    assert all(not r["base"] for r in pii.find_personal_data(cases.frame(spark, rows)).where("doc <> 3").collect())
+    got = {r["doc"]: r["base"] for r in pii.find_personal_data(cases.frame(spark, rows)).collect()}
+    assert [(b["start"], b["kind"], b["end"]) for b in got[3]] == base_spans(rows[2][1]) and len(got[3]) > 9000
+    assert not any(got[d] for d in (1, 2, 4, 5))
+
+
+def test_texts_of_many_matches(spark):
+    """Work in proportion to the text: 80,000 addresses in one text, found and replaced."""
+    text = " ".join(f"user{i}@mail{i % 7}.org" for i in range(80_000)) + " +49 (30) 123-45678"
+    df = cases.frame(spark, [(1, text)])
+    spans = pii.find_personal_data(df).first()["base"]
+    assert [(s["start"], s["kind"], s["end"]) for s in spans] == base_spans(text)
+    assert pii.sanitise(df).first()["text"] == "[EMAIL] " * 80_000 + "[PHONE]"
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 15, 16, 17, 255, 256, 257, 5000):
+        x = [(i * 7919) % 101 for i in range(n)]
+        df = spark.createDataFrame([(x,)], "x array<bigint>")
+        got = df.select(F.expr(pii.running("x", "0L", "s + y")).alias("s"), F.expr(pii.running("x", "0L", "greatest(s, y)")).alias("m"), F.expr(pii.running("x", "0L", "greatest(s, y)", 1)).alias("k")).first()
+        assert got["s"] == [sum(x[:i]) for i in range(n)] and got["m"] == got["k"] == [max([0, *x[:i]]) for i in range(n)]
+
+
+def test_overlaps(spark):
+    """Spans of terms that overlap one of the base go, against comparing all."""
+    import random
+
+    r = random.Random(7)
+    span = lambda kind: (a := r.randint(0, 200), kind, a + r.randint(1, 12), "v")
+    for _ in range(6):
+        base, more = sorted(span(r.randint(0, 3)) for _ in range(12)), sorted({span(4) for _ in range(20)})
+        want = sorted([*base, *(m for m in more if not any(b[0] < m[2] and m[0] < b[2] for b in base))])
+        df = spark.createDataFrame([(base, more)], f"base {pii._SPANS}, more {pii._SPANS}")
+        assert [tuple(x) for x in df.select(F.expr(pii._without_overlaps("base", "more")).alias("s")).first()["s"]] == want
 
 
 def test_hashes_of_queries(spark):
