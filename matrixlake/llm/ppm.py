@@ -14,9 +14,12 @@ Bytes that no context has are equally likely among those not excluded.
 Texts are lower-cased (A-Z) and their words joined by one space; byte 255, which
 UTF-8 lacks, marks the end and, repeated, what stands before a text.
 
-The trie is collected and broadcast while it has at most ``block_runs`` runs;
-a larger one is split by the last byte of the context, which all contexts of a
-position share, and each part scores its positions in a scan of its own. Counts
+The trie is collected and broadcast while it has at most ``block_runs`` runs; a
+larger one is split by the end of the context, which all longer contexts of a
+position share: by its last byte, and where one byte has too many runs by its last
+two, three and so on, so that a part never has more than ``block_runs`` runs (256
+at least). Contexts shorter than the deepest split are in every part. Each part
+scores its positions in a scan of its own. Counts
 of words for the base score are broadcast up to ``block_words`` words and joined
 beyond.
 
@@ -110,12 +113,15 @@ class Gather:
 class Trie:
     """Contexts of all lengths up to ``order`` from runs of one more byte and, for the empty context, all bytes' counts."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, letters: np.ndarray, order: int):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, letters: np.ndarray, order: int, lower: dict | None = None):
+        """``lower``: runs and counts of contexts by length, where ``codes`` are a part that lacks some of theirs."""
         self.order = order
         self.gram, self.count, self.ctx, self.total, self.kinds, self.taken = ([None] * (order + 1) for _ in range(6))
         for j in range(order, -1, -1):
             if j == order:
                 g, c = tally(codes, counts)
+            elif lower and j in lower:
+                g, c = lower[j]
             elif j == 0:
                 g = np.flatnonzero(letters).astype(np.uint64)
                 c = letters[letters > 0]
@@ -230,6 +236,51 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[o], n[o]
 
 
+def split_contexts(letters: DataFrame, order: int, block_runs: int) -> list[list[tuple[int, int]]]:
+    """Blocks of (length, value) of ends of contexts, each with at most ``block_runs`` runs: ends that have more are made longer."""
+    blocks: list[list[tuple[int, int]]] = [[]]
+    held, long = 0, None
+    for depth in range(1, order + 1):
+        mask = lambda d: (1 << 8 * d) - 1
+        rows = letters if long is None else letters.where(F.expr(f"shiftrightunsigned(key, 8) & {mask(depth - 1)}L").isin(long))
+        ends = rows.groupBy(F.expr(f"shiftrightunsigned(key, 8) & {mask(depth)}L").alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()
+        long = [r["e"] for r in ends if r["n"] > block_runs and depth < order]
+        for n, e in sorted((r["n"], r["e"]) for r in ends if r["n"] <= block_runs or depth == order):
+            if held and held + n > block_runs:
+                blocks.append([])
+                held = 0
+            blocks[-1].append((depth, e))
+            held += n
+        if not long:
+            break
+    return blocks
+
+
+def in_block(block: list[tuple[int, int]]) -> F.Column:
+    out = F.lit(False)
+    for depth in sorted({d for d, _ in block}):
+        out = out | F.expr(f"shiftrightunsigned(key, 8) & {(1 << 8 * depth) - 1}L").isin([e for d, e in block if d == depth])
+    return out
+
+
+class Owners:
+    """Which contexts block number ``mine`` scores; those with an end that no block has belong to the last one."""
+
+    def __init__(self, blocks: list[list[tuple[int, int]]], mine: int):
+        ends = sorted((d, e, i) for i, block in enumerate(blocks) for d, e in block)
+        self.tables = [(d, np.array([e for x, e, _ in ends if x == d], np.uint64), np.array([i == mine for x, _, i in ends if x == d])) for d in sorted({d for d, _, _ in ends})]
+        self.rest = mine == len(blocks) - 1
+
+    def __call__(self, contexts: np.ndarray) -> np.ndarray:
+        out, open_ = np.full(len(contexts), self.rest), np.ones(len(contexts), bool)
+        for depth, ends, own in self.tables:
+            at, seen = Trie._find(ends, contexts & np.uint64((1 << 8 * depth) - 1))
+            seen &= open_
+            out[seen] = own[at[seen]]
+            open_ &= ~seen
+        return out
+
+
 def ppm_score(docs: DataFrame, training: F.Column, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", block_runs: int = BLOCK_RUNS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row per row of ``docs``: id, ``in_training``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     spark = docs.sparkSession
@@ -241,15 +292,9 @@ def ppm_score(docs: DataFrame, training: F.Column, order: int = ORDER, id_col: s
     zero = np.zeros(256, np.int64)
     for r in by_byte:
         zero[r["b"]] = r["n"]
-    sizes = sorted((r["n"], r["b"]) for r in letters.groupBy(F.expr("cast(shiftrightunsigned(key, 8) & 255 as int)").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-    blocks: list[list[int]] = [[]]
-    held = 0
-    for n, b in sizes:
-        if held and held + n > block_runs:
-            blocks.append([])
-            held = 0
-        blocks[-1].append(b)
-        held += n
+    blocks = split_contexts(letters, order, block_runs)
+    deepest = max((depth for block in blocks for depth, _ in block), default=1)
+    lower = {j: _arrays(letters.groupBy(F.expr(f"key & {(1 << 8 * (j + 1)) - 1}L").alias("key")).agg(F.sum("n").alias("n"))) for j in range(1, deepest)}
     known = None
     if n_words <= block_words:
         keys, n = _arrays(words)
@@ -261,16 +306,12 @@ def ppm_score(docs: DataFrame, training: F.Column, order: int = ORDER, id_col: s
     out = rows.select("id", "text", "in_training", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
     floor = float(np.log10(0.1 / (n_tokens + 0.1 * (n_words + 1)))) if n_tokens or n_words else float(np.log10(0.1 / 0.1))
     for k, block in enumerate(blocks):
-        part = letters if len(blocks) == 1 else letters.where(F.expr("cast(shiftrightunsigned(key, 8) & 255 as int)").isin(block))
-        sent = spark.sparkContext.broadcast(Trie(*_arrays(part), zero, order))
-        mine = np.zeros(256, bool)
-        mine[block if len(blocks) > 1 else slice(None)] = True
-        if k == len(blocks) - 1:  # contexts never seen belong to the last block
-            mine |= ~np.isin(np.arange(256), [b for x in blocks for b in x])
+        sent = spark.sparkContext.broadcast(Trie(*_arrays(letters.where(in_block(block)) if len(blocks) > 1 else letters), zero, order, lower))
+        owners = Owners(blocks, k)
         tokens = k == 0
 
         @task("words")
-        def score(batches: Iterator[pa.RecordBatch], sent=sent, mine=mine, tokens=tokens, whole=bool(mine.all()), last=k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
+        def score(batches: Iterator[pa.RecordBatch], sent=sent, owners=owners, tokens=tokens, whole=len(blocks) == 1, last=k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
             price = Memo(sent.value.price)
             if tokens and known is not None:
                 keys, counted = known.value
@@ -286,7 +327,7 @@ def ppm_score(docs: DataFrame, training: F.Column, order: int = ORDER, id_col: s
                 if whole:
                     got = _sums(price(codes), n)
                 else:
-                    own = mine[((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64)]
+                    own = owners(codes >> np.uint64(8))
                     p = np.zeros(len(codes))
                     p[own] = price(codes[own])
                     got = _sums(p, n)
