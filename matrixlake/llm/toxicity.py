@@ -13,7 +13,7 @@ by hash in three: for the lexicon, the trees, and the calibration.
 Defined results: null and empty texts have features of no words and a score like
 any other; a document with several labels counts as toxic if one says so; null
 labels and labels without document are ignored; repeated rows are scored one by
-one. Without labels of both kinds every score is the share of toxic labels (0
+one, while training takes one text of an id. Without labels of both kinds every score is the share of toxic labels (0
 without any). Other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import CACHE_WORDS, bucket, slices, task
+from matrixlake.llm.common import CACHE_WORDS, bucket, materialize, slices, task
 
 MAX_ROWS = 12_000
 LEXICON_SIZE = 4000
@@ -224,7 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: F.Column, max_rows: int =
     known = labels.where(training & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     fold = F.expr("pmod(xxhash64(_id, 7), 10)")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id").select("text", "toxic", fold.alias("fold"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
+    # one row an id, that of the smallest hash: the bound on labels is one on rows, however often an id occurs
+    rows = rows.groupBy("_id", "toxic").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))
+    rows = materialize(rows.select("text", "toxic", fold.alias("fold")), "labelled")
     lexicon = _lexicon(rows.where("fold < 4"), lexicon_size)
     sent = spark.sparkContext.broadcast(lexicon)
 
