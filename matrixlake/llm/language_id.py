@@ -3,16 +3,19 @@
 A language is a distribution over byte trigrams of words, learned from labelled
 texts; a word's likelihood under a language is the product over its trigrams.
 A document is taken as words drawn from several languages: expectation-
-maximisation estimates their proportions, then sets of the 1, 2, ... strongest
-languages are fitted again and the one of the highest likelihood, less half the
-logarithm of the number of words for each further language, is chosen.
+maximisation estimates their proportions (``ROUNDS`` rounds), then sets of the 1,
+2, ... strongest languages are fitted again and the one of the highest likelihood,
+less half the logarithm of the number of words for each further language, is
+chosen. A document's set grows until ``PATIENCE`` further languages in a row have
+not raised that value, up to all learned languages.
 
 Trigrams are hashed to 2**18 places, so a model has a bound in size by language.
 Likelihoods of words are kept in a bounded cache; the rest is array work over
 slices of texts. Nothing but the counts of trigrams is shuffled.
 
 Defined results: a text without letters, an empty or a null one gives ``und``
-with score 0 and no shares, and so does a model without languages; repeated rows
+with score 0 and no shares, and so does a model without languages; more than
+``MAX_LANGUAGES`` learned labels are a ValueError; repeated rows
 count and are judged as often as they occur; an empty table gives an empty
 result. Columns besides id, text and the label are ignored.
 """
@@ -26,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import bucket, slices, task
+from matrixlake.llm.common import bucket, materialize, slices, task
 
 PLACES = 1 << 18
 ALPHA = 0.5
 ROUNDS = 6
-MOST = 4
+PATIENCE = 2
+#: a megabyte of log probabilities each, on the driver and in a broadcast
+MAX_LANGUAGES = 200
 UNKNOWN = "und"
 #: letters stay, in lower case for A-Z; digits, punctuation and controls part words
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -117,7 +122,11 @@ class _Index(dict):
 def fit(docs: DataFrame, training: F.Column, text_col: str = "text", lang_col: str = "lang") -> Model:
     """At most 2**18 counts by language reach the driver."""
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    got = count_trigrams(rows).toPandas()
+    counted = materialize(count_trigrams(rows), "trigrams")
+    many = counted.agg(F.count_distinct("lang")).first()[0]
+    if many > MAX_LANGUAGES:
+        raise ValueError(f"{many} languages are labelled, {MAX_LANGUAGES} at most can be learned")
+    got = counted.toPandas()
     languages = sorted(got["lang"].unique().tolist())
     counts = np.zeros((len(languages), PLACES), np.float64)
     if len(got):
@@ -136,7 +145,7 @@ def em(p: np.ndarray, owner: np.ndarray, starts: np.ndarray, n: np.ndarray, shar
     return share, np.add.reduceat(np.log(total + np.float32(1e-30)), starts)
 
 
-def infer(p: np.ndarray, n: np.ndarray, most: int = MOST) -> np.ndarray:
+def infer(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Proportions by document (rows) after the choice of the set of languages; ``n``: words, all positive."""
     langs = p.shape[1]
     owner, starts = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
@@ -144,17 +153,21 @@ def infer(p: np.ndarray, n: np.ndarray, most: int = MOST) -> np.ndarray:
     order = np.argsort(-full, axis=1, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(langs)[None], axis=1)
-    best, best_value = None, None
-    for k in range(1, min(most, langs) + 1):
-        keep = rank < k
-        share = np.where(keep, np.maximum(full, np.float32(1e-3)), 0).astype(np.float32)
+    best, best_value = np.zeros_like(full), np.full(len(n), -np.inf)
+    left, waited = np.arange(len(n)), np.zeros(len(n), np.int64)  # documents whose set may still grow
+    for k in range(1, langs + 1):
+        share = np.where(rank[left] < k, np.maximum(full[left], np.float32(1e-3)), 0).astype(np.float32)
         share, value = em(p, owner, starts, n, share / share.sum(1, keepdims=True), 0 if k == 1 else ROUNDS // 2)
         value = value - 0.5 * (k - 1) * np.log(np.maximum(n, 2))
-        if best is None:
-            best, best_value = share, value
-        else:
-            better = value > best_value
-            best[better], best_value[better] = share[better], value[better]
+        better = value > best_value[left]
+        best[left[better]], best_value[left[better]] = share[better], value[better]
+        waited = np.where(better, 0, waited + 1)
+        go = waited < PATIENCE
+        if not go.any():
+            break
+        if not go.all():
+            p, n, left, waited = p[go[owner]], n[go], left[go], waited[go]
+            owner, starts = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
     return best
 
 
