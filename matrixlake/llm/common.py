@@ -141,6 +141,13 @@ def discard(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.written_to)
 
 
+def integer_ids(df: DataFrame, id_col: str) -> None:
+    """For operators that take the smallest id: a clear error instead of a cast that fails in a task."""
+    kind = df.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"column {id_col} must hold integers, not {kind}")
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     if pa.types.is_dictionary(column.type):
         column = column.dictionary_decode()
@@ -218,7 +225,7 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 
 def bits_for(n: int, most: int = BITMAP_BITS) -> int:
     """So many bits that at most one in sixteen is set by n keys, while the bitmap stays below 2**most bits (16 MB)."""
-    return min(most, max(16, (16 * n).bit_length()))
+    return max(16, min(most, (16 * n).bit_length()))
 
 
 def bitmap_of(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:

@@ -21,7 +21,8 @@ bands of 5, a pair at similarity 0.8 shares none with probability 3e-6.
 Defined results: a null, empty or wordless text has an empty set, is linked with
 nothing and kept; a text of fewer words than a shingle is one shingle; rows that
 share an id are one document (each row keeps its own ``n_shingles``); rows with a
-null id are kept, with a null component. An empty table gives an empty result.
+null id are kept, with a null component. An empty table gives an empty result. Ids
+of another type than integers are a TypeError.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import hash_words, materialize, mix, slices, task, window_hashes
+from matrixlake.llm.common import hash_words, integer_ids, materialize, mix, slices, task, window_hashes
 from matrixlake.llm.graph import connected_components
 
 BANDS, ROWS = 32, 5
@@ -176,6 +177,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
+    integer_ids(docs, id_col)
     signed = materialize(signatures(docs, shingle, id_col, text_col), "signatures")
     named = signed.where("n > 0 and doc is not null")
     # only sets that several documents have; written, so that a hot one is split in the joins

@@ -3,12 +3,14 @@
 Level 1 looks at windows of half the length. Every full window is stood for by
 the smallest hash among the half windows inside it, so that equal full windows
 always share that half window and only about a quarter of all half windows need
-to be counted. Half windows seen in one document alone end there; they are left
-out by a bitmap of fixed size that says which are repeated (a wrong "repeated"
-costs work, never a result). Level 2 extends the surviving windows alone to
-twice the length (overlapping by one word where the length is odd) and counts
-them exactly. That length is what is removed by; ``longest_repeats`` goes on
-doubling, each level on what the one before left, until no candidates survive.
+to be counted. Half windows seen in one document alone end there: the repeated
+ones are counted and kept in a bitmap of sixteen bits each (a wrong "repeated"
+costs work, never a result), or joined where the bitmap would pass its bound.
+Level 2 extends the surviving windows alone to twice the length (overlapping by
+one word where the length is odd) and counts them by 96 bits of two hashes. That
+length is what is removed by, and no longer level can change what is removed;
+``longest_repeats`` goes on doubling, each level on what the one before left,
+until no candidates survive.
 
 Exact copies are settled first, by a hash of the whole text: every window of a
 copy also starts in the copy with the smallest id.
@@ -17,7 +19,8 @@ Defined results: a null text has no words; a text shorter than the window keeps
 all its words; rows with a null id are never removed from and remove nothing;
 repeated rows (same id, same text) are one document, and a second text under the
 same id is judged on its own, but not against its namesake (its id is not
-smaller). An empty table gives an empty result. Other columns are ignored.
+smaller). An empty table gives an empty result. Ids of another type than integers
+are a TypeError. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import bitmap_of, hash_words, in_bitmap, materialize, slices, sliding_min, task, window_hashes
+from matrixlake.llm.common import bitmap_of, bits_for, discard, hash_words, in_bitmap, integer_ids, materialize, slices, sliding_min, task, window_hashes
 
+#: a bitmap of repeated half windows has 2**29 bits at most (64 MB); more of them than an eighth of that are joined
+SEED_BITS = 29
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: part of a text's hash, from the hash
 _MARK = "shiftright(shiftleft(a, 32), 32)"
 
@@ -54,6 +60,7 @@ def _candidates(docs: DataFrame, length: int, id_col: str, text_col: str) -> tup
     """(windows, copies, shared): hash, document and position of windows that may be repeated; documents that are copies
     of one with a smaller id; whether different texts share an id."""
     spark = docs.sparkSession
+    integer_ids(docs, id_col)
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     a, b = _hash("text")
     hashed = base.select("doc", a.alias("a"), b.alias("b"))
@@ -61,14 +68,15 @@ def _candidates(docs: DataFrame, length: int, id_col: str, text_col: str) -> tup
     copies = hashed.join(first.where("low < high"), ["a", "b"]).where("doc > low").select("doc", "a").distinct()
     shared_id = not hashed.groupBy("doc").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x < y").isEmpty()
     # a document whose bit is not set is surely a copy; a wrongly set bit only costs work
-    firsts = spark.sparkContext.broadcast(bitmap_of(first.select(F.xxhash64("low", "a").alias("k")), "k").tobytes())
+    first_bits = bits_for(first.count())
+    firsts = spark.sparkContext.broadcast(bitmap_of(first.select(F.xxhash64("low", "a").alias("k")), "k", first_bits).tobytes())
     a = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = base.select("doc", "text", a.alias("a"), F.xxhash64("doc", a).alias("k"))
 
     def doc_of(rows: pa.RecordBatch, texts: list):
         ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         k = rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        keep = in_bitmap(np.frombuffer(firsts.value, np.uint8), k).tolist()
+        keep = in_bitmap(np.frombuffer(firsts.value, np.uint8), k, first_bits).tolist()
         return ids, [t if x else b"" for t, x in zip(texts, keep, strict=True)]
 
     @task("words")
@@ -82,7 +90,10 @@ def _candidates(docs: DataFrame, length: int, id_col: str, text_col: str) -> tup
             yield pa.record_batch([pa.array(s[new].view(np.int64)), pa.array(ids[d[new]])], names=["seed", "doc"])
 
     found = rows.mapInArrow(seeds, "seed long, doc long").groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    repeated = spark.sparkContext.broadcast(bitmap_of(found.where("low < high"), "seed").tobytes())
+    found = materialize(found.where("low < high").select("seed"), "seeds")
+    many = found.count()
+    joined, seed_bits = many > 1 << (SEED_BITS - 3), bits_for(many, SEED_BITS)
+    repeated = spark.sparkContext.broadcast(b"\0" if joined else bitmap_of(found, "seed", seed_bits).tobytes())
 
     @task("words")
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,28 +102,32 @@ def _candidates(docs: DataFrame, length: int, id_col: str, text_col: str) -> tup
             ids, texts = doc_of(rows, texts)
             mark = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64) if shared_id else np.zeros(len(ids), np.int64)
             h, n, owner, ok, low = _windows(texts, length)
-            ok = ok[in_bitmap(bitmap, low[ok])]
+            ok = ok if joined else ok[in_bitmap(bitmap, low[ok], seed_bits)]
             if not len(ok):
                 continue
             at = ok - (np.cumsum(n) - n)[owner[ok]]
             full = window_hashes(h, length)[ok]
-            yield pa.record_batch([pa.array(full.view(np.int64)), pa.array(ids[owner[ok]]), pa.array((mark[owner[ok]] << 32) | at)], names=["h", "doc", "at"])
+            check = (window_hashes(h, length, _SECOND)[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            columns = [pa.array(full.view(np.int64)), pa.array(check), pa.array(ids[owner[ok]]), pa.array((mark[owner[ok]] << 32) | at)]
+            yield pa.record_batch([*columns, pa.array(low[ok].view(np.int64))] if joined else columns, names=["h", "c", "doc", "at", "seed"][: 4 + joined])
 
     # "at" holds the word position in its low 32 bits and, where texts share an id, part of the text's hash in the high ones
-    candidates = materialize(rows.mapInArrow(extend, "h long, doc long, at long"), "windows")
+    candidates = rows.mapInArrow(extend, "h long, c int, doc long, at long" + ", seed long" * joined)
+    candidates = materialize(candidates.join(found, "seed", "left_semi").drop("seed") if joined else candidates, "windows")
+    discard(found)
     return candidates, copies.select("doc", F.expr(_MARK if shared_id else "0L").alias("mark")).distinct(), shared_id
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """(h, low) of windows in more than one document. Read back, so that both sides of a join with it are dealt anew and a hot window can be split."""
-    return materialize(windows.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low"), "repeated")
+    """(h, c, low) of windows in more than one document. Read back, so that both sides of a join with it are dealt anew and a hot window can be split."""
+    return materialize(windows.groupBy("h", "c").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "c", "low"), "repeated")
 
 
 def repeated_windows(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, bool]:
     """(covered, copies): start positions of windows that also start in a document with a smaller id, by document and text;
     the documents that are copies of one with a smaller id; and whether different texts share an id."""
     candidates, copies, shared_id = _candidates(docs, length, id_col, text_col)
-    covered = candidates.join(_repeated(candidates), "h").where("low < doc").select("doc", F.expr("shiftright(at, 32)").alias("mark"), F.expr("cast(at & 4294967295 as int)").alias("start"))
+    covered = candidates.join(_repeated(candidates), ["h", "c"]).where("low < doc").select("doc", F.expr("shiftright(at, 32)").alias("mark"), F.expr("cast(at & 4294967295 as int)").alias("start"))
     return covered, copies, shared_id
 
 
@@ -123,14 +138,15 @@ def longest_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", t
     which must have survived. Of equal texts the smallest id stands for all.
     """
     candidates, _, _ = _candidates(docs, length, id_col, text_col)
-    now = materialize(candidates.join(_repeated(candidates), "h", "left_semi"), "level")
+    now = materialize(candidates.join(_repeated(candidates), ["h", "c"], "left_semi"), "level")
     found = None
     while not now.isEmpty():
         level = now.select("doc").distinct().withColumn("length", F.lit(length).cast("long"))
         found = level if found is None else found.unionByName(level)
-        second = now.select("doc", (F.col("at") - length).alias("at"), F.col("h").alias("h2"))
-        twice = materialize(now.join(second, ["doc", "at"]).select(F.xxhash64("h", "h2").alias("h"), "doc", "at"), "level")
-        now = materialize(twice.join(_repeated(twice), "h", "left_semi"), "level")
+        second = now.select("doc", (F.col("at") - length).alias("at"), F.col("h").alias("h2"), F.col("c").alias("c2"))
+        twice = now.join(second, ["doc", "at"]).select(F.xxhash64("h", "h2", "c", "c2").alias("h"), F.hash("h", "c", "h2", "c2").alias("c"), "doc", "at")
+        twice = materialize(twice, "level")
+        now = materialize(twice.join(_repeated(twice), ["h", "c"], "left_semi"), "level")
         length *= 2
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc long, length long")

@@ -205,6 +205,12 @@ def test_chains_and_mixed_buckets(spark):
     assert got == components(rows, 4)
 
 
+@pytest.mark.parametrize("work", [near_dedup.near_duplicates, substring_dedup.substring_dedup])
+def test_ids_must_be_integers(spark, work):
+    with pytest.raises(TypeError, match="integers"):
+        work(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.8, 0.95):
@@ -246,8 +252,9 @@ def without_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [13, 4, 1])
-def test_substrings(spark, length):
+@pytest.mark.parametrize("length,bits", [(13, 29), (4, 3), (1, 29)])
+def test_substrings(spark, length, bits, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SEED_BITS", bits)  # with 3, repeated half windows are joined
     got = substring_dedup.substring_dedup(cases.frame(spark, clash=cases.CLASH), length)
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_text") == without_repeats(cases.texts(), length)
     assert substring_dedup.substring_dedup(cases.empty(spark), length).count() == 0

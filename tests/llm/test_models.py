@@ -54,7 +54,7 @@ def brute_scores(rows, order):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block_runs": 300}, {"block_words": 0}])
+@pytest.mark.parametrize("options", [{}, {"block_runs": 300, "block_words": 0}, {"block_runs": 120}])
 def test_ppm(spark, options):
     rows = [r for r in cases.texts() if len(r[1] or "") < 5000]
     got = ppm.ppm_score(cases.frame(spark, rows, clash=("n", "a", "key", "score")), bucket("doc_id", 10) != 0, **options).collect()
@@ -106,6 +106,37 @@ def test_mixture_of_two_languages(spark):
     assert got[2]["lang_pred"] == "bb" and len(got[2]["shares"]) == 1
 
 
+def test_mixtures_against_brute_force():
+    """Sets of languages and shares, one document at a time, by plain loops; six languages in equal parts are all found."""
+    r = np.random.default_rng(5)
+    langs, n = 7, np.array([1, 3, 40, 200, 600, 5])
+    p = np.exp(-r.gamma(2.0, 2.0, (int(n.sum()), langs))).astype(np.float32)
+    p[244:844] = 1e-4
+    p[np.arange(244, 844), np.arange(600) % 6] = 1
+    got = language_id.infer(p.copy(), n)
+
+    def fit(q, share, rounds):
+        for _ in range(rounds):
+            w = q * share
+            share = (w / w.sum(1, keepdims=True)).mean(0)
+        return share, float(np.log((q * share).sum(1)).sum())
+
+    for d, (lo, m) in enumerate(zip(np.cumsum(n) - n, n, strict=True)):
+        q = p[lo : lo + m].astype(float)
+        full, _ = fit(q, np.full(langs, 1 / langs), language_id.ROUNDS)
+        order, best, top, waited = np.argsort(-full, kind="stable"), None, -np.inf, 0
+        for k in range(1, langs + 1):
+            share = np.zeros(langs)
+            share[order[:k]] = np.maximum(full[order[:k]], 1e-3)
+            share, value = fit(q, share / share.sum(), 0 if k == 1 else language_id.ROUNDS // 2)
+            value -= 0.5 * (k - 1) * np.log(max(m, 2))
+            best, top, waited = (share, value, 0) if value > top else (best, top, waited + 1)
+            if waited == language_id.PATIENCE:
+                break
+        assert got[d] == pytest.approx(best, abs=2e-3)
+    assert (got[4] > 0).sum() == 6 and got[4][:6] == pytest.approx(np.full(6, 1 / 6), abs=0.01)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -135,6 +166,65 @@ def test_toxicity_edges(spark):
     assert toxicity.score(cases.empty(spark), model).count() == 0
 
 
+def test_features_against_loops():
+    """The features of cases, by plain loops over words."""
+    lexicon = {b"vile": 3.0, b"bad*": 1.5, b"idio*": 2.75}
+    texts = ["You are VILE, you badly-made thing!!", "v1le talk? no", "calm words 123", "", None, "IDIOT", "nothing here then after a very long while of words vile", "ihr seid 1d1ots"]
+    names = toxicity.FEATURES
+    for t, row in zip(texts, toxicity.features([x.encode() if x is not None else None for x in texts], toxicity.Words(lexicon)), strict=True):
+        x = dict(zip(names, row.tolist(), strict=True))
+        words = (t or "").split()
+        weights, second = [], []
+        for w in words:
+            w = w.strip(".,!?;:\"'()[]{}<>*#%&$|-_=/~`").lower()
+            plain = "".join(c for c in w if c not in "-._*").translate(str.maketrans("0134578@$!|+", "oieastbasiit"))
+            options = [w] if w.isdigit() else [w, plain]
+            weights.append(max((lexicon.get(k.encode(), 0.0) for o in options for k in [o, *(o[:i] + "*" for i in range(4, min(10, len(o) + 1)))]), default=0.0))
+            second.append(w in toxicity.SECOND)
+        n, strong = max(1, len(words)), [i for i, v in enumerate(weights) if v >= toxicity.STRONG]
+        gaps = [min((abs(i - j) for j, s in enumerate(second) if s), default=None) for i in strong]
+        assert x["words"] == pytest.approx(math.log1p(len(words))) and x["hits"] == sum(v > 0 for v in weights) and x["weight_max"] == max(weights, default=0)
+        assert x["weight_rate"] == pytest.approx(sum(weights) / n) and x["strong"] == len(strong) and x["second_rate"] == pytest.approx(sum(second) / n)
+        assert x["near_second"] == sum(g is not None and g <= toxicity.NEAR for g in gaps) and x["nearest"] == pytest.approx(max((1 / (1 + g) for g in gaps if g is not None), default=0))
+        letters = [c for c in (t or "") if c.isalpha()]
+        assert x["capital_rate"] == pytest.approx(sum(c.isupper() for c in letters) / max(1, len(letters))) and x["exclaim_rate"] == pytest.approx((t or "").count("!") / max(1, len(t or "")))
+
+
+def test_one_tree_against_all_splits():
+    """The first split of a tree is the best of all, by trying each; its leaves are Newton steps."""
+    r = np.random.default_rng(4)
+    x = r.integers(0, 6, (300, 3)).astype(float)
+    y = ((x[:, 1] > 3) ^ (r.random(300) < 0.1)).astype(float)
+    model = toxicity.Trees(rounds=1, depth=1).fit(x, y)
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+    gain = lambda m: sum(g[k].sum() ** 2 / (h[k].sum() + 1) for k in (m, ~m))
+    best = max(((gain(x[:, j] > c), j, c) for j in range(3) for c in range(5)), key=lambda b: b[0])
+    feature, cut, value = model.trees[0]
+    assert feature[0] == best[1] == 1 and np.array_equal(x[:, 1] > cut[0], x[:, 1] > best[2])
+    right = x[:, 1] > cut[0]
+    assert value == pytest.approx([-g[k].sum() / (h[k].sum() + 1) * model.rate for k in (~right, right)])
+
+
+def test_isotonic_is_the_least_squares_fit():
+    r = np.random.default_rng(9)
+    s, y = np.arange(40.0), (r.random(40) < np.linspace(0.1, 0.9, 40)).astype(float)
+    at, level = toxicity.isotonic(s, y)
+    # minimax formula of monotone regression
+    want = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    steps = sorted(set(np.round(want, 9).tolist()))
+    assert np.round(level, 9).tolist() == steps and (np.diff(at) > 0).all()
+
+
+def test_training_takes_one_row_an_id(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i % 50} is {'vile' if i % 50 < 20 else 'kind'}") for i in range(5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(50)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert 0 < model.share < 1
+    long = spark.createDataFrame([(1, "kind words " * 50_000), (2, None)], "doc_id long, text string")
+    assert toxicity.score(long, model).where("score between 0 and 1").count() == 2
+
+
 def test_isotonic_rises():
     r = np.random.default_rng(2)
     s = r.normal(size=500)
@@ -167,9 +257,24 @@ def test_snapshots(spark, part):
         parts[r["conv_id"]][r["part"]] = (r["rendered"], r["n_turns"], r["n_logged"])
     got = {c: (next(iter(p.values()))[1], next(iter(p.values()))[2], "".join(p[k][0] for k in sorted(p))) for c, p in parts.items()}
     assert got == keep and set(got) == {7, 5, 9, None, 10}
+    assert all(len(p) == -(-keep[c][0] // part) and sorted(p) == list(range(len(p))) for c, p in parts.items())
     assert chat_format.render_conversations(df.where("false")).count() == 0
 
 
+def test_many_turns_of_one_number(spark):
+    """Rows without id, turn numbers that repeat and rows that are equal come in parts of bounded size."""
+    rows = [(None, None, "user", f"t{i % 900}") for i in range(3000)] + [(1, 0, "user", "same")] * 1000 + [(2, i * 10**9, "user", f"turn {i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = chat_format.render_conversations(df).collect()
+    assert all(r["part_turns"] <= 256 for r in got)
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["part"]):
+        by[r["conv_id"]].append(r["rendered"])
+    line = "<|im_start|>user\n{}<|im_end|>\n"
+    assert "".join(by[1]) == line.format("same") * 1000 and "".join(by[2]) == "".join(line.format(f"turn {i}") for i in range(700))
+    assert Counter("".join(by[None]).split("<|im_end|>\n")[:-1]) == Counter({f"<|im_start|>user\nt{i}": 3 + (i < 300) for i in range(900)})
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     """Each stage keeps what its operator keeps, and nothing clean is lost."""
