@@ -2,11 +2,14 @@
 
 Defined results: a null or empty text is a payload of padding alone; equal texts
 give equal files; repeated rows are stored as often as they occur; a null id
-stays null; an empty table gives an empty result. Other columns are ignored.
+stays null; an empty table gives an empty result. A file that is null or cannot be
+read (another format, a broken or shortened stream) has a null payload and feature
+and no pictures; it does not stop the others. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +21,15 @@ from matrixlake.llm.common import slices, task
 from matrixlake.llm.webp import ROW, decode, decode_bytes, encode_bytes
 
 PAD = b"\xff"
+#: what a broken stream can raise
+_BROKEN = (ValueError, IndexError, struct.error)
+
+
+def _or_none(work, media: bytes | None):
+    try:
+        return work(media) if media else None
+    except _BROKEN:
+        return None
 
 
 def payload_of(text: bytes | None) -> bytes:
@@ -55,7 +67,7 @@ def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     @task("media")
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, files in slices(batches, media_col, 4 << 20):
-            got = [decode_bytes(m) if m else None for m in files]
+            got = [_or_none(decode_bytes, m) for m in files]
             yield pa.record_batch([*rows.columns, pa.array(got, pa.binary()), pa.array([feature_of(g) if g else None for g in got], pa.string())], names=[*names, "payload", "feature"])
 
     return media.mapInArrow(read, schema)
@@ -69,7 +81,7 @@ def to_pixels(media: DataFrame, id_col: str, media_col: str = "media") -> DataFr
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, files in slices(batches, media_col, 4 << 20):
             ids = rows.column(0).to_pylist()
-            found = [(i, k, p) for i, m in zip(ids, files, strict=True) for k, p in enumerate(decode(m) if m else [])]
+            found = [(i, k, p) for i, m in zip(ids, files, strict=True) for k, p in enumerate(_or_none(decode, m) or [])]
             yield pa.record_batch(
                 [
                     pa.array([f[0] for f in found], rows.schema.field(0).type),
