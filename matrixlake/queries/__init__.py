@@ -6,9 +6,9 @@ feature, quantity = count), return flags are datasets, orders are cells' metadat
 
 from __future__ import annotations
 
-from matrixlake.queries import axes, canonical, matrix, pairs, texts
+from matrixlake.queries import axes, canonical, matrix, pairs, stored, texts
 
-_PARTS = (matrix, axes, pairs, texts, canonical)
+_PARTS = (matrix, axes, pairs, texts, canonical, stored)
 
 
 def queries() -> dict:
