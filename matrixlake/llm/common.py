@@ -224,8 +224,8 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def bits_for(n: int, most: int = BITMAP_BITS) -> int:
-    """So many bits that at most one in sixteen is set by n keys, while the bitmap stays below 2**most bits (16 MB)."""
-    return max(16, min(most, (16 * n).bit_length()))
+    """So many bits that at most one in 64 is set by n keys, while the bitmap has at most 2**most bits (27: 16 MB)."""
+    return max(16, min(most, (64 * n).bit_length()))
 
 
 def bitmap_of(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:

@@ -4,7 +4,7 @@ Level 1 looks at windows of half the length. Every full window is stood for by
 the smallest hash among the half windows inside it, so that equal full windows
 always share that half window and only about a quarter of all half windows need
 to be counted. Half windows seen in one document alone end there: the repeated
-ones are counted and kept in a bitmap of sixteen bits each (a wrong "repeated"
+ones are counted and kept in a bitmap of 64 bits or more for each (a wrong "repeated"
 costs work, never a result), or joined where the bitmap would pass its bound.
 Level 2 extends the surviving windows alone to twice the length (overlapping by
 one word where the length is odd) and counts them by 96 bits of two hashes. That
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from matrixlake.llm.common import bitmap_of, bits_for, discard, hash_words, in_bitmap, integer_ids, materialize, slices, sliding_min, task, window_hashes
 
-#: a bitmap of repeated half windows has 2**29 bits at most (64 MB); more of them than an eighth of that are joined
-SEED_BITS = 29
+#: a bitmap of repeated half windows has 2**30 bits at most (128 MB); more of them than an eighth of that are joined
+SEED_BITS = 30
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: part of a text's hash, from the hash
 _MARK = "shiftright(shiftleft(a, 32), 32)"
