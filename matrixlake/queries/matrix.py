@@ -127,12 +127,6 @@ def gather_ordered_dups(spark, d) -> DataFrame:
     return G.gather_ids(orders, ids)
 
 
-def gather_table(spark, d) -> DataFrame:
-    asked = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") * 100000 + F.col("l_orderkey")).alias("pos"), F.pmod(F.col("l_orderkey") * 7, F.lit(1000)).alias("id"))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("global_row_index"), "o_orderstatus")
-    return G.gather(orders, asked)
-
-
 def gather_table_all(spark, d) -> DataFrame:
     """Every line item asks for an order, any of all of them."""
     n = table(spark, d, "orders").count()
@@ -155,11 +149,6 @@ ENTRIES_SQL = """e AS (SELECT o_orderstatus AS dataset_id, CASE o_orderstatus WH
 ent AS (SELECT dataset_id, n_cells, dataset_index, CAST(sum(n_cells) OVER (ORDER BY dataset_index) AS BIGINT) AS global_end, CAST(sum(n_cells) OVER (ORDER BY dataset_index) - n_cells AS BIGINT) AS global_start FROM e)"""
 
 
-def route_rows_to_dataset(spark, d) -> DataFrame:
-    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.pmod(F.col("o_orderkey") * 31, F.lit(997)).alias("id"))
-    return G.route(ids, _entries(spark, d))
-
-
 def route_all_rows_to_dataset(spark, d) -> DataFrame:
     n = table(spark, d, "orders").count()
     ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.pmod(F.col("o_orderkey") * 31, F.lit(n)).alias("id"))
@@ -188,11 +177,6 @@ def _shuffled(spark, d) -> DataFrame:
     return o.withColumn("new_row", F.row_number().over(Window.orderBy(order(7, F.col("row")))) - 1)
 
 
-def reorder_rewrite(spark, d) -> DataFrame:
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("global_row_index"), "o_totalprice")
-    return reorder(orders, _shuffled(spark, d))
-
-
 def reorder_rewrite_all(spark, d) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("global_row_index"), "o_totalprice")
     return reorder(orders, shuffled(orders.select(F.col("global_row_index").alias("row")), 7))
@@ -260,16 +244,11 @@ QUERIES = {
         gather_ordered_dups,
         "SELECT id AS global_row_index, o_orderstatus, o_totalprice, pos FROM (SELECT unnest([9, 1, 9, 5, 0, 257, 14, 5])::BIGINT AS id, unnest(range(8)) AS pos) JOIN orders ON o_orderkey = id",
     ),
-    "gather_table": (gather_table, "SELECT o_orderkey AS global_row_index, o_orderstatus, l_partkey * 100000 + l_orderkey AS pos FROM lineitem JOIN orders ON o_orderkey = (l_orderkey * 7) % 1000 WHERE l_linenumber = 1"),
     "gather_table_all": (
         gather_table_all,
         "SELECT o_orderkey AS global_row_index, o_orderstatus, CAST((l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS BIGINT) AS pos FROM lineitem JOIN orders ON o_orderkey = (l_orderkey * 7 + l_linenumber) % (SELECT count(*) FROM orders)",
     ),
     "global_ranges": (global_ranges, f"WITH {ENTRIES_SQL} SELECT * FROM ent"),
-    "route_rows_to_dataset": (
-        route_rows_to_dataset,
-        f"WITH {ENTRIES_SQL} SELECT o_orderkey AS pos, (o_orderkey * 31) % 997 AS id, dataset_id, dataset_index, (o_orderkey * 31) % 997 - global_start AS local_row_index FROM orders JOIN ent ON (o_orderkey * 31) % 997 >= global_start AND (o_orderkey * 31) % 997 < global_end",
-    ),
     "route_all_rows_to_dataset": (
         route_all_rows_to_dataset,
         f"WITH {ENTRIES_SQL}, i AS (SELECT o_orderkey AS pos, (o_orderkey * 31) % (SELECT count(*) FROM orders) AS id FROM orders) SELECT pos, id, dataset_id, dataset_index, id - global_start AS local_row_index FROM i JOIN ent ON id >= global_start AND id < global_end",
@@ -283,10 +262,6 @@ QUERIES = {
         "SELECT id AS global_row_index, event_type, count(*) AS n, pos FROM (SELECT unnest([6, 0, 3, 3])::BIGINT AS id, unnest(range(4)) AS pos) JOIN events ON user_id = id GROUP BY 1, 2, 4",
     ),
     "extra_csc_regroup": (extra_csc_regroup, f"SELECT row, count(*) AS n, min(gene) AS first_gene, arg_max(value, gene) AS last_count FROM ({SUM_SQL}) GROUP BY 1"),
-    "reorder_rewrite": (
-        reorder_rewrite,
-        "WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5('7:' || o_orderkey)) - 1 AS n FROM orders WHERE o_orderkey < 500) SELECT n AS global_row_index, o_totalprice, o_orderkey AS source_row FROM o",
-    ),
     "reorder_rewrite_all": (
         reorder_rewrite_all,
         "WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5('7:' || o_orderkey)) - 1 AS n FROM orders) SELECT n AS global_row_index, o_totalprice, o_orderkey AS source_row FROM o",

@@ -117,10 +117,6 @@ def _links(spark, d, k=None) -> DataFrame:
     return P.links_by_expression(g, pairs, feature, dot, k)
 
 
-def links_topk_both_sides(spark, d) -> DataFrame:
-    return _links(spark, d, 2).select("source_row", "target_row", "weight")
-
-
 def links_topk_all_labels(spark, d) -> DataFrame:
     """Whole vectors, in whole thousandths, of each label against those of each other one."""
     e = table(spark, d, "embeddings")
@@ -210,18 +206,8 @@ def epoch_self_links(spark, d) -> DataFrame:
     return S.Sampler(g, pairs, links="self").epoch_rows(0, 1).select("source_row", "target_row")
 
 
-def links_lookup(spark, d) -> DataFrame:
-    """Partners by weighted links; cells without a link get none."""
-    g = _groups(spark, d)
-    pairs = P.cross(g, on=["status"], where=tgt.year == src.year + 1)
-    c = cells(spark, d)
-    nxt = c.select(F.col("row").alias("target_row"), "status", (F.col("year") - 1).alias("year")).where("target_row % 40 = 0")
-    links = c.where("row % 25 = 0").join(nxt, (c["status"].eqNullSafe(nxt["status"])) & (c["year"] == nxt["year"])).select(F.col("row").alias("source_row"), "target_row", (F.col("target_row") % 4).alias("weight"))
-    return S.Sampler(g, pairs, links="table", link_table=links).epoch_rows(0, 9).select("source_row", "target_row")
-
-
 def links_lookup_all(spark, d) -> DataFrame:
-    """As ``links_lookup``, with three hashed partners in the next year's group for every cell that has one."""
+    """Partners by links, with three hashed partners in the next year's group for every cell that has one."""
     g = _groups(spark, d)
     pairs = P.cross(g, on=["status"], where=tgt.year == src.year + 1)
     at = g.rows.withColumnRenamed("group", "source_group").join(pairs.select("source_group", F.col("target_group").alias("group")), "source_group").join(g.table.select("group", "n_cells"), "group")
@@ -315,13 +301,6 @@ QUERIES = {
         f'WITH {_G2}, p AS (SELECT s.grp AS a, t.grp AS b FROM g s JOIN g t ON {_SAME} AND s.yr = 1995 AND t.yr = 1997) SELECT grp AS "group", n AS n_cells FROM g WHERE grp NOT IN (SELECT a FROM p UNION SELECT b FROM p)',
     ),
     "drop_small_pairs": (drop_small_pairs, f"WITH {_G2} SELECT source_group, target_group FROM ({_FWD}) WHERE sn >= 720 AND tn >= 430"),
-    "links_topk_both_sides": (
-        links_topk_both_sides,
-        """WITH e AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS f FROM embeddings),
-        l AS (SELECT s.label AS a, t.label AS b, s.vec_id AS source_row, t.vec_id AS target_row, CAST(list_sum(list_transform(list_zip(s.f, t.f), lambda z: z[1] * z[2])) AS BIGINT) AS weight FROM e s JOIN e t ON s.label IN (0, 1) AND t.label IN (2, 3)),
-        r AS (SELECT *, row_number() OVER (PARTITION BY a, b, source_row ORDER BY weight DESC, source_row, target_row) AS rs, row_number() OVER (PARTITION BY a, b, target_row ORDER BY weight DESC, source_row, target_row) AS rt FROM l)
-        SELECT source_row, target_row, weight FROM r WHERE rs <= 2 OR rt <= 2""",
-    ),
     "links_topk_all_labels": (
         links_topk_all_labels,
         """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS f FROM embeddings),
@@ -368,11 +347,6 @@ QUERIES = {
         f"SELECT x.r AS source_row, t.r AS target_row, CAST(pair_no AS INTEGER) AS pair_no FROM x JOIN mem t ON t.grp = x.target_group AND t.k = CAST(floor({u_sql(chr(39) + '7:1:' + chr(39) + ' || x.r || ' + chr(39) + ':partner' + chr(39))} * t.n) AS BIGINT)",
     ),
     "epoch_self_links": (epoch_self_links, "SELECT o_orderkey AS source_row, o_orderkey AS target_row FROM orders"),
-    "links_lookup": (
-        links_lookup,
-        f"WITH {CELLS_SQL}, l AS (SELECT a.r AS s, b.r AS t, b.r % 4 AS w FROM cells a JOIN cells b ON a.status IS NOT DISTINCT FROM b.status AND b.yr = a.yr + 1 WHERE a.r % 25 = 0 AND b.r % 40 = 0), c AS (SELECT *, sum(w) OVER (PARTITION BY s ORDER BY t) AS hi, sum(w) OVER (PARTITION BY s) AS total FROM l) "
-        f"SELECT s AS source_row, t AS target_row FROM c WHERE {u_sql(chr(39) + '9:0:' + chr(39) + ' || s || ' + chr(39) + ':link' + chr(39))} * total < hi AND {u_sql(chr(39) + '9:0:' + chr(39) + ' || s || ' + chr(39) + ':link' + chr(39))} * total >= hi - w",
-    ),
     "links_lookup_all": (
         links_lookup_all,
         f"WITH {CELLS_SQL}, m AS (SELECT r, status, yr, row_number() OVER (PARTITION BY status, yr ORDER BY r) - 1 AS k, count(*) OVER (PARTITION BY status, yr) AS n FROM cells), l AS (SELECT DISTINCT a.r AS s, b.r AS t, b.r % 4 + 1 AS w FROM m a CROSS JOIN (SELECT unnest(range(3)) AS j) JOIN m b ON a.status IS NOT DISTINCT FROM b.status AND b.yr = a.yr + 1 AND b.k = (a.r * 31 + j * 7) % b.n), c AS (SELECT *, sum(w) OVER (PARTITION BY s ORDER BY t) AS hi, sum(w) OVER (PARTITION BY s) AS total FROM l) "
