@@ -27,6 +27,27 @@ class Side:
 
 src, tgt = Side("source_"), Side("target_")
 
+#: rows that one slot of row numbers spans, as a power of two; hexadecimal digits of a draw that name its slot
+SLOT_BITS, SLOT_DIGITS = 20, 3
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], by: Sequence[Column | str], slot: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``, their rank from 0 among the rows of the same ``keys`` in the order of ``by``.
+
+    ``slot`` cuts that order into stretches: it must not fall along it. Ranks are taken
+    in a stretch and offset by the sizes of those before, so no task sorts a whole group.
+    """
+    at = rows.withColumn("_slot", slot)
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slot")) - F.col("_n")
+    starts = at.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_slot", before.alias("_start"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*by)) - 1
+    return at.withColumn("_rank", rank).join(starts, [*keys, "_slot"]).withColumn(name, F.col("_start") + F.col("_rank")).drop("_slot", "_start", "_rank")
+
+
+def shuffled(rows: DataFrame, keys: Sequence[str], draw: Column, name: str) -> DataFrame:
+    """The same in the order of a draw (``order``), rows that tie by number."""
+    return ranked(rows.withColumn("_draw", draw), keys, ["_draw", "row"], F.substring("_draw", 1, SLOT_DIGITS), name).drop("_draw")
+
 
 class Groups:
     """``table``: a row per group (group, keys, n_cells, derived columns); ``rows``: (group, row); ``by``: the keys."""
@@ -39,7 +60,7 @@ class Groups:
 
     def members(self) -> DataFrame:
         """Rows with their rank in the group, by row."""
-        return self.rows.withColumn("k", F.row_number().over(Window.partitionBy("group").orderBy("row")) - 1)
+        return ranked(self.rows, ["group"], ["row"], F.shiftright("row", SLOT_BITS), "k")
 
 
 def make_groups(table: DataFrame, by: Sequence[str], row: str = "row") -> Groups:
@@ -141,13 +162,12 @@ def links_by_callback(groups: Groups, pairs: DataFrame, match: Callable, top_k:
 def write_order(groups: Groups, seed: int = 0, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(order, blocks): new position of each row, groups sorted with nulls first and shuffled inside; start and stop of each group.
 
-    The position is the group's start plus a rank inside the group, so no window spans all cells.
+    The position is the group's start plus a rank inside the group, so no window spans all cells or a whole group.
     """
     rows = groups.rows if keep is None else groups.rows.join(keep.select("row"), "row", "left_semi")
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n_cells"))
     table = groups.table.drop("n_cells").join(sizes, "group")
     stop = F.sum("n_cells").over(Window.orderBy(*(F.asc_nulls_first(c) for c in groups.by)).rowsBetween(Window.unboundedPreceding, 0))
     blocks = table.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("n_cells"))
-    rank = F.row_number().over(Window.partitionBy("group").orderBy(order(seed, F.col("row")), "row"))
-    placed = rows.withColumn("_k", rank).join(blocks.select("group", "start"), "group")
-    return placed.select("row", (F.col("start") + F.col("_k") - 1).alias("new_row"), "group"), blocks
+    placed = shuffled(rows, ["group"], order(seed, F.col("row")), "_k").join(blocks.select("group", "start"), "group")
+    return placed.select("row", (F.col("start") + F.col("_k")).alias("new_row"), "group"), blocks

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matrixlake.functions.draws import order, uniform
-from matrixlake.operators.groups import Groups, drop_small
+from matrixlake.operators.groups import Groups, drop_small, shuffled
 
 LINKS = ("none", "random", "self", "table")
 
@@ -112,9 +112,8 @@ class Sampler:
 
     def _all(self, sides: DataFrame, seed: int) -> DataFrame:
         """Whole groups, shuffled."""
-        key = order(seed, F.col("sample"), F.col("side"), F.col("group"), F.col("row"))
-        rank = F.row_number().over(Window.partitionBy("sample", "side", "group").orderBy(key, "row")) - 1
-        return sides.join(self.groups.rows, "group").withColumn("ord", rank).select("sample", "side", "group", "ord", "row")
+        draw = order(seed, F.col("sample"), F.col("side"), F.col("group"), F.col("row"))
+        return shuffled(sides.join(self.groups.rows, "group"), ["sample", "side", "group"], draw, "ord").select("sample", "side", "group", "ord", "row")
 
     def _some(self, sides: DataFrame, n: int, seed: int) -> DataFrame:
         """n cells of each group: ranks are drawn in an array, then looked up, so nothing grows with the groups' sizes."""
@@ -128,7 +127,7 @@ class Sampler:
         else:
             ranks = distinct_ranks(n, size, u)
         drawn = sides.select("sample", "side", "group", F.posexplode(ranks).alias("ord", "k"))
-        return drawn.join(self.groups.members().select("group", F.col("k").cast("long").alias("k"), "row"), ["group", "k"]).select("sample", "side", "group", "ord", "row")
+        return drawn.join(self.groups.members(), ["group", "k"]).select("sample", "side", "group", "ord", "row")
 
     def sample(self, samples: DataFrame, seed: int = 0) -> DataFrame:
         """(sample, bundle, pair_no, side, ord, row) for a table of sample numbers; cells of a group are shared by the bundle's pairs."""
@@ -189,31 +188,18 @@ class Sampler:
 def epoch_chunks(groups: Groups, covered: DataFrame, n: int | str, seed: int = 0, epoch: int = 0, drop_last: bool = False) -> DataFrame:
     """(group, chunk, ord, row): shuffled cells of each covered group in sets of n; the last may be short."""
     rows = groups.rows.join(covered, "group", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("group").orderBy(order(seed, epoch, F.col("row")), "row")) - 1
-    size = F.lit(2**31 if n == "all" else n)
-    out = rows.withColumn("_r", rank).withColumn("chunk", F.floor(F.col("_r") / size)).withColumn("ord", F.pmod("_r", size))
+    size = F.lit(2**62 if n == "all" else n)
+    out = shuffled(rows, ["group"], order(seed, epoch, F.col("row")), "_r").withColumn("chunk", F.floor(F.col("_r") / size)).withColumn("ord", F.pmod("_r", size))
     if drop_last and n != "all":
         out = out.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("group", "chunk"))).where(F.col("_n") == n).drop("_n")
     return out.drop("_r")
 
 
-def cell_batches(groups: Groups, batch_size: int, epoch: int = 0, seed: int = 0, same_group: bool = False, drop_last: bool = False, slots: int = 1024) -> DataFrame:
-    """(batch, ord, row): every cell once an epoch, in shuffled batches, of one group each if asked for.
-
-    Without groups the shuffle is over all cells; ranks are taken within slots of
-    the hash and offset by the slots' sizes, so no task sorts all cells.
-    """
-    key = order(seed, epoch, F.col("row"))
-    if same_group:
-        rank = F.row_number().over(Window.partitionBy("group").orderBy(key, "row")) - 1
-        out = groups.rows.withColumn("_r", rank).withColumn("batch", F.concat_ws(":", "group", F.floor(F.col("_r") / batch_size)))
-    else:
-        slot = F.floor(uniform(seed, epoch, F.col("row")) * slots)
-        rows = groups.rows.withColumn("_slot", slot)
-        sizes = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
-        starts = sizes.select("_slot", (F.sum("_n").over(Window.orderBy("_slot")) - F.col("_n")).alias("_start"))
-        rank = F.row_number().over(Window.partitionBy("_slot").orderBy(key, "row")) - 1
-        out = rows.withColumn("_k", rank).join(F.broadcast(starts), "_slot").withColumn("_r", F.col("_start") + F.col("_k")).withColumn("batch", F.floor(F.col("_r") / batch_size).cast("string"))
+def cell_batches(groups: Groups, batch_size: int, epoch: int = 0, seed: int = 0, same_group: bool = False, drop_last: bool = False) -> DataFrame:
+    """(batch, ord, row): every cell once an epoch, in shuffled batches, of one group each if asked for."""
+    keys = ["group"] if same_group else []
+    out = shuffled(groups.rows, keys, order(seed, epoch, F.col("row")), "_r")
+    out = out.withColumn("batch", F.concat_ws(":", *keys, F.floor(F.col("_r") / batch_size)))
     out = out.withColumn("ord", F.pmod("_r", F.lit(batch_size))).select("batch", "ord", "group", "row")
     if drop_last:
         out = out.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("batch"))).where(F.col("_n") == batch_size).drop("_n")

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import pytest
@@ -129,3 +130,20 @@ def test_write_order(spark):
     got = [(r["p"], r["lane"], r["start"], r["stop"]) for r in blocks.orderBy("start").collect()]
     assert got == [(p, lane, i * 50, i * 50 + 50) for i, (p, lane) in enumerate((p, x) for p in (None, "A", "B") for x in (1, 2))]
     assert sorted(r["new_row"] for r in order.collect()) == list(range(300))
+
+
+def test_ranks_over_many_slots(spark, monkeypatch):
+    """A group that spans many slots has the ranks that one sort of it gives."""
+    monkeypatch.setattr(P, "SLOT_BITS", 3)
+    monkeypatch.setattr(P, "SLOT_DIGITS", 1)
+    rows = [(r, "hot" if r % 3 else "rare") for r in range(-5, 300)]
+    g = P.make_groups(spark.createDataFrame(rows, "row long, kind string"), "kind")
+    name = {r["group"]: r["kind"] for r in g.table.collect()}
+    want = {(r, rank) for kind in ("hot", "rare") for rank, r in enumerate(sorted(r for r, k in rows if k == kind))}
+    assert {(r["row"], r["k"]) for r in g.members().collect()} == want
+    draw = lambda r: (hashlib.md5(f"4:{r}".encode()).hexdigest(), r)
+    shuffle = {(kind, r): rank for kind in ("hot", "rare") for rank, r in enumerate(sorted((r for r, k in rows if k == kind), key=draw))}
+    start = {"hot": 0, "rare": sum(k == "hot" for _, k in rows)}
+    order, _ = P.write_order(g, 4)
+    got = {(name[r["group"]], r["row"]): r["new_row"] - start[name[r["group"]]] for r in order.collect()}
+    assert got == shuffle
