@@ -16,7 +16,9 @@ class RowError(IndexError):
 
 
 def request(spark: SparkSession, ids: Sequence[int]) -> DataFrame:
-    """(pos, id) of the ids asked for, in order."""
+    """(pos, id) of the ids asked for, in order. A range is counted out by the executors and never listed on the driver."""
+    if isinstance(ids, range):
+        return spark.range(len(ids)).select(F.col("id").alias("pos"), (F.col("id") * ids.step + ids.start).alias("id"))
     return spark.createDataFrame(list(enumerate(map(int, ids))), "pos long, id long")
 
 
@@ -27,12 +29,14 @@ def check_range(requested: DataFrame, n_rows: int) -> DataFrame:
     return requested
 
 
+def few(requested: DataFrame, n: int | None) -> DataFrame:
+    """The request, to be broadcast if it is known to be small."""
+    return F.broadcast(requested) if n is not None and n <= BROADCAST_IDS else requested
+
+
 def gather(table: DataFrame, requested: DataFrame, key: str = "global_row_index", n_requested: int | None = None) -> DataFrame:
     """Rows of ``table`` by key, one for each request, with ``pos``. A request that is known to be small is broadcast."""
-    asked = requested.select("pos", F.col("id").alias(key))
-    if n_requested is not None and n_requested <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    return table.join(asked, key)
+    return table.join(few(requested.select("pos", F.col("id").alias(key)), n_requested), key)
 
 
 def gather_ids(table: DataFrame, ids: Sequence[int], key: str = "global_row_index") -> DataFrame:

@@ -224,7 +224,7 @@ class Corpus:
             raise CorpusError(f"no extra matrix {name!r}")
         base = f"{self.members[0].path}/extra/{name}"
         rows = self.spark.read.parquet(f"{base}/matrix.parquet")
-        asked = F.broadcast(G.check_range(G.request(self.spark, ids), self.n_obs).withColumnRenamed("id", "global_row_index"))
+        asked = G.check_range(G.request(self.spark, ids), self.n_obs).withColumnRenamed("id", "global_row_index")
         return asked.join(rows, "global_row_index", "left").orderBy("pos"), self.spark.read.parquet(f"{base}/var.parquet")
 
     def dense_counts(self, ids: Sequence[int], genes: Sequence[str] | None = None) -> DataFrame:
@@ -256,7 +256,7 @@ class Corpus:
         obs = self.obs.where(F.col("dataset_index").isin(numbers))
         if rows is not None:
             G.check_range(G.request(self.spark, rows), self.n_obs)
-            asked = F.broadcast(G.request(self.spark, rows))
+            asked = G.few(G.request(self.spark, rows), len(rows))
             obs = obs.join(asked.withColumnRenamed("id", "global_row_index"), "global_row_index")
             coo = coo.join(asked.withColumnRenamed("id", "row"), "row").withColumn("row", F.col("pos").cast("long"))
         if obs_columns is not None:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from matrixlake.operators import gather as G
 from matrixlake.operators.features import FeatureError
 from matrixlake.operators.reorder import write_reordered
 from matrixlake.plans import corpus as K
@@ -114,6 +115,18 @@ def test_many_files(spark, tmp_path):
         K.convert_files(files, cells, features, genes.limit(2), str(tmp_path / "n"))
 
 
+def test_ranges_are_not_listed_on_the_driver(spark):
+    import tracemalloc
+
+    for ids in (range(6, -1, -1), range(3, 20, 4), range(0), range(5, 5), range(2, -9, -3)):
+        assert [tuple(r) for r in G.request(spark, ids).orderBy("pos").collect()] == list(enumerate(ids))
+    tracemalloc.start()
+    asked = G.request(spark, range(299_999, -1, -1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20 and tuple(asked.agg(F.min("id"), F.max("id"), F.count("pos"), F.min(F.col("pos") + F.col("id")), F.max(F.col("pos") + F.col("id"))).first()) == (0, 299_999, 300_000, 299_999, 299_999)
+
+
 def hash_(g):
     return sum(map(ord, g))
 
