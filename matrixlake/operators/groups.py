@@ -29,6 +29,8 @@ src, tgt = Side("source_"), Side("target_")
 
 #: rows that one slot of row numbers spans, as a power of two; hexadecimal digits of a draw that name its slot
 SLOT_BITS, SLOT_DIGITS = 20, 3
+#: rows of a group that are multiplied at once with as many of another one; products that are held meanwhile
+BLOCK, PRODUCTS = 8192, 1 << 21
 
 
 def ranked(rows: DataFrame, keys: Sequence[str], by: Sequence[Column | str], slot: Column, name: str) -> DataFrame:
@@ -139,6 +141,87 @@ def links_by_expression(groups: Groups, pairs: DataFrame, features: DataFrame, w
     return heaviest(out, top_k) if top_k else out
 
 
+def dot(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def links_by_dot(groups: Groups, pairs: DataFrame, features: DataFrame, top_k: int) -> DataFrame:
+    """As ``links_by_expression`` with ``dot`` and ``top_k``, for vectors of whole numbers, without a row for each candidate.
+
+    All cells of a pair are multiplied, in blocks of rows of both groups; a block
+    gives the heaviest links of each of its rows, of which the heaviest of all blocks
+    stay. Vectors that are null, hold nulls, differ in length or whose products
+    may exceed 53 bits go the plain way.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    f = F.col("feature")
+    r = features.agg(
+        F.coalesce(F.bool_or(f.isNull() | F.exists(f, lambda x: x.isNull())), F.lit(False)).alias("odd"),
+        F.min(F.size(f)).alias("least"),
+        F.max(F.size(f)).alias("most"),
+        F.max(F.greatest(F.array_max(f), -F.array_min(f).cast("decimal(20)"))).alias("top"),
+    ).first()
+    if r["odd"] or r["least"] != r["most"] or int(r["top"] or 0) ** 2 * r["most"] >= 1 << 53 or (r["top"] or 0) >= 1 << 31:
+        return links_by_expression(groups, pairs, features, dot, top_k)
+
+    sizes = groups.table.select("group", F.ceil(F.col("n_cells") / BLOCK).cast("int").alias("n"))
+    p = pairs.select("source_group", "target_group").distinct()
+    tiles = p.select(F.least("source_group", "target_group").alias("lo"), F.greatest("source_group", "target_group").alias("hi")).distinct()
+    tiles = tiles.join(sizes.select(F.col("group").alias("lo"), F.col("n").alias("n_lo")), "lo").join(sizes.select(F.col("group").alias("hi"), F.col("n").alias("n_hi")), "hi")
+    parts = min(2000, 2 * (tiles.agg(F.sum(F.col("n_lo") * F.col("n_hi"))).first()[0] or 1))
+    cells = groups.rows.join(features, "row").select("group", "row", f.cast("array<int>").alias("v"))
+    key = ["lo", "hi", "at_lo", "at_hi"]
+
+    def side(own: str, other: str, mark: str):
+        at = cells.join(F.broadcast(tiles), F.col("group") == F.col(own))
+        at = at.withColumn(f"at_{own}", F.pmod(F.xxhash64("row"), F.col(f"n_{own}")).cast("int")).withColumn(f"at_{other}", F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
+        names = [c + mark for c in key]
+        return at.select(*(F.col(c).alias(c + mark) for c in (*key, "row", "v"))).repartition(parts, *names).groupBy(*names)
+
+    def numbers(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        *_, row, v = t.sort_by(t.column_names[-2]).columns
+        row, v = row.to_numpy(), pa.concat_arrays(v.chunks).flatten().to_numpy(zero_copy_only=False)
+        return row, v.reshape(len(t), len(v) // len(t)).astype(np.float64)
+
+    def best(a: np.ndarray, b: np.ndarray):
+        """Of each row of a, the numbers of its heaviest rows of b, of which the first win ties; and their products."""
+        k = min(top_k, len(b))
+        at, w = np.empty((len(a), k), np.int64), np.empty((len(a), k), np.int64)
+        step = max(1, PRODUCTS // len(b))
+        for i in range(0, len(a), step):
+            x = a[i : i + step] @ b.T
+            own = np.arange(len(x))
+            for j in range(k):
+                at[i : i + step, j] = m = x.argmax(axis=1)
+                w[i : i + step, j] = x[own, m]
+                x[own, m] = -np.inf
+        return at, w
+
+    def run(tile, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["own_group", "other_group", "own_row", "other_row", "weight"]
+        lo, hi, *_ = (x.as_py() for x in tile)
+        out = []
+        if len(left) and len(right):
+            (s, a), (t, b) = numbers(left), numbers(right)
+            if np.sqrt((a * a).sum(1).max() * (b * b).sum(1).max()) < 1 << 23:  # bounds all sums and parts of them: exact in 24 bits
+                a, b = a.astype(np.float32), b.astype(np.float32)
+            for g, h, own, other, x, y in ((lo, hi, s, t, a, b), (hi, lo, t, s, b, a))[: 1 if lo == hi else 2]:
+                at, w = best(x, y)
+                out.append((np.full(at.size, g, np.int32), np.full(at.size, h, np.int32), np.repeat(own, at.shape[1]), other[at.ravel()], w.ravel()))
+        types = [np.int32, np.int32, np.int64, np.int64, np.int64]
+        return pa.table({n: np.concatenate([x[c] for x in out]) if out else np.zeros(0, types[c]) for c, n in enumerate(names)})
+
+    found = side("lo", "hi", "").cogroup(side("hi", "lo", "_")).applyInArrow(run, "own_group int, other_group int, own_row long, other_row long, weight long")
+    w = Window.partitionBy("own_group", "other_group", "own_row").orderBy(F.desc("weight"), "other_row")
+    found = found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top_k)
+    # a link is among the heaviest of its source, of its target, or of both
+    ways = F.explode(F.array(*(F.struct(F.col(f"{a}_group").alias("source_group"), F.col(f"{b}_group").alias("target_group"), F.col(f"{a}_row").alias("source_row"), F.col(f"{b}_row").alias("target_row"), "weight") for a, b in (("own", "other"), ("other", "own")))))
+    links = found.select(ways.alias("x")).select("x.*").join(F.broadcast(p), ["source_group", "target_group"]).distinct()
+    return links.select(F.concat_ws(":", "source_group", "target_group").alias("pair"), "source_row", "target_row", "weight")
+
+
 def links_by_callback(groups: Groups, pairs: DataFrame, match: Callable, top_k: int | None = None) -> DataFrame:
     """Links from ``match(source rows, target rows) -> (i, j[, weight])``, called once for each allowed pair with NumPy arrays."""
     import numpy as np

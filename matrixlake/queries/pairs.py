@@ -122,8 +122,7 @@ def links_topk_all_labels(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
     feature = e.select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000)).alias("feature"))
     g = P.make_groups(e.select(F.col("vec_id").alias("row"), "label"), ["label"])
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0).cast("long"), lambda s, v: s + v)
-    return P.links_by_expression(g, P.cross(g, where=src.label != tgt.label), feature, dot, 2).select("source_row", "target_row", "weight")
+    return P.links_by_dot(g, P.cross(g, where=src.label != tgt.label), feature, 2).select("source_row", "target_row", "weight")
 
 
 def links_callback(spark, d) -> DataFrame:

@@ -147,3 +147,20 @@ def test_ranks_over_many_slots(spark, monkeypatch):
     order, _ = P.write_order(g, 4)
     got = {(name[r["group"]], r["row"]): r["new_row"] - start[name[r["group"]]] for r in order.collect()}
     assert got == shuffle
+
+
+@pytest.mark.parametrize(("block", "scale", "odd"), [(8192, 1, [(4, None), (2, [1, 2**40, -3])]), (3, 10**6, [])])
+def test_links_by_dot_are_those_of_all_candidates(spark, monkeypatch, block, scale, odd):
+    """Ties, copies, a group with itself, one direction only; sums in 24 and in 53 bits; and odd vectors, which go the plain way."""
+    monkeypatch.setattr(P, "BLOCK", block)
+    g = P.make_groups(table(spark, [("abcd"[i % 7 % 4],) for i in range(37)] + [("e",)], "kind string"), ["kind"])
+    both = P.cross(g, source="kind in ('a', 'b', 'e')")
+    vectors = [(i, [scale * ((i * 7 + j * 3) % 5 - 2) for j in range(3)]) for i in range(38)]
+    for change in ({}, *({i: v} for i, v in odd)):
+        rows = [(i, change.get(i, v)) for i, v in vectors]
+        features = spark.createDataFrame(rows, "row long, feature array<long>")
+        for pairs, k in ((both, 2), (both.where("source_group < target_group"), 1)):
+            want = P.links_by_expression(g, pairs, features, P.dot, k).select("pair", "source_row", "target_row", "weight")
+            got = P.links_by_dot(g, pairs, features, k)
+            assert got.dtypes == want.dtypes
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
