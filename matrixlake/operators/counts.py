@@ -140,16 +140,26 @@ def dense_to_coo(dense: DataFrame, row: str, values: str) -> DataFrame:
     return dense.select(row, F.posexplode(values).alias("gene", "value")).where("value <> 0")
 
 
-def pack(rows: DataFrame) -> DataFrame:
-    """Genes and whole counts of a cell in one array of longs: count above 16 bits of gene."""
-    bad = rows.agg(F.coalesce(F.bool_or(F.expr("exists(genes, g -> g < 0 or g >= 65536) or exists(counts, c -> c < 0 or c >= 4294967296 or c <> floor(c))")), F.lit(False)).alias("bad"))
+def pack(rows: DataFrame, wide: bool = False) -> DataFrame:
+    """Genes and whole counts of a cell in one array of longs: count above 16 bits of gene.
+
+    ``wide`` takes genes below 2**31: what a gene has above 16 bits is added to its
+    count and kept beside it in ``high``, which is null in cells without such genes.
+    """
+    most = 2**31 if wide else 65536
+    bad = rows.agg(F.coalesce(F.bool_or(F.expr(f"exists(genes, g -> g < 0 or g >= {most}) or exists(counts, c -> c < 0 or c >= 4294967296 or c <> floor(c))")), F.lit(False)).alias("bad"))
     if bad.first()["bad"]:
-        raise CountError("only genes below 65,536 and whole counts below 2**32 can be packed")
-    return rows.withColumn("packed", F.expr("transform(arrays_zip(genes, counts), x -> shiftleft(cast(x.counts as bigint), 16) | x.genes)")).drop("genes", "counts")
+        raise CountError(f"only genes below {most:,} and whole counts below 2**32 can be packed")
+    out = rows.withColumn("packed", F.expr("transform(arrays_zip(genes, counts), x -> shiftleft(cast(x.counts as bigint), 16) + x.genes)"))
+    if wide:
+        out = out.withColumn("high", F.expr("case when exists(genes, g -> g >= 65536) then transform(genes, g -> cast(shiftright(g, 16) as int)) end"))
+    return out.drop("genes", "counts")
 
 
 def unpack(packed: DataFrame, count_type: str = "int") -> DataFrame:
-    return packed.withColumns({"genes": F.expr("transform(packed, x -> cast(x & 65535 as int))"), "counts": F.expr(f"transform(packed, x -> cast(shiftrightunsigned(x, 16) as {count_type}))")}).drop("packed")
+    high = "high" if "high" in packed.columns else "cast(null as array<int>)"
+    of = lambda e, kind: F.expr(f"transform(packed, (x, i) -> cast({e.format(h=f'coalesce(get({high}, i), 0)')} as {kind}))")
+    return packed.withColumns({"genes": of("shiftleft({h}, 16) | (x & 65535)", "int"), "counts": of("shiftrightunsigned(x, 16) - {h}", count_type)}).drop("packed", "high")
 
 
 def normalize_total(coo: DataFrame, target: float = 1e4, row: str = "row", value: str = "value") -> DataFrame:

@@ -100,7 +100,7 @@ def candidate_ranking(spark, d) -> DataFrame:
 
 def pack_unpack_roundtrip(spark, d) -> DataFrame:
     rows = C.to_rows(C.sum_duplicates(coo(spark, d).withColumn("gene", F.col("gene").cast("int"))))
-    packed = C.pack(rows)
+    packed = C.pack(rows, wide=True)
     return C.from_rows(C.unpack(packed)).join(packed.select("row", F.element_at("packed", 1).alias("first_packed")), "row")
 
 

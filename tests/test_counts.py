@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from matrixlake.operators import counts as C
 from matrixlake.operators import features as V
 from matrixlake.operators import gather as G
+from matrixlake.queries.matrix import pack_unpack_roundtrip
 
 
 def coo(spark, matrix, kind="double"):
@@ -68,6 +69,22 @@ def test_packing(spark):
             C.pack(spark.createDataFrame([(0, genes, counts)], "row long, genes array<int>, counts array<double>"))
 
 
+def test_packing_of_wide_genes(spark, tmp_path):
+    cells = [([0, 65535], [1, 2**31 - 1]), ([5, 65536 + 5, 131072 + 5, 2**31 - 1], [3, 2, 1, 2**31 - 1]), ([], [])]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "row long, genes array<int>, counts array<int>")
+    packed = C.pack(rows, wide=True)
+    p = [(r["packed"], r["high"]) for r in packed.orderBy("row").collect()]
+    assert p == [([(v << 16) + g for g, v in zip(*c, strict=True)], [g >> 16 for g in c[0]] if max(c[0], default=0) > 65535 else None) for c in cells]
+    back = C.unpack(packed)
+    assert back.dtypes == rows.dtypes and [(r["genes"], r["counts"]) for r in back.orderBy("row").collect()] == cells
+    with pytest.raises(C.CountError):
+        C.pack(spark.createDataFrame([(0, [2**31], [1])], "row long, genes array<long>, counts array<int>"), wide=True)
+    items = [(1, 70000, 2.0), (1, 4464, 3.0), (1, 70000, 1.0), (2, 65536, 1.0), (3, 12, 50.0), (3, 13, 0.0)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = pack_unpack_roundtrip(spark, str(tmp_path)).select("row", "gene", "value", "first_packed").collect()
+    assert sorted(map(tuple, got)) == [(1, 4464, 3, 3 * 65536 + 4464), (1, 70000, 3, 3 * 65536 + 4464), (2, 65536, 1, 131072), (3, 12, 50, 50 * 65536 + 12)]
+
+
 def test_even_sample():
     assert C.even_sample(0) == [] and C.even_sample(3) == [0, 1, 2]
     s = C.even_sample(1000)
