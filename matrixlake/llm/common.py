@@ -19,6 +19,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,6 +136,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Work out into blocks on the executors' disks, at once: two reads of one plan would both do it. Lost blocks are worked out again.
+
+    For tables with a partition for each part of the input, without a shuffle.
+    ``materialize`` creates a file for each: without its native library Hadoop's local
+    file system has the JVM start a chmod for every file, and a process that starts
+    shares the executor's whole memory for some milliseconds, so what sums memory
+    over processes counts that twice.
+    """
+    df.persist(StorageLevel.DISK_ONLY).count()
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that no result reads any more, before the driver ends."""
     for t in tables:

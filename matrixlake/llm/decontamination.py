@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixlake.llm.common import bitmap_of, bits_for, hash_split, in_bitmap, materialize, mix, slices, task, unused, window_hashes
+from matrixlake.llm.common import bitmap_of, bits_for, hash_split, in_bitmap, keep, materialize, mix, slices, task, unused, window_hashes
 
 LENGTH = 13
 SHINGLE = 3
 BROADCAST_BYTES = 32 << 20
+#: partitions of documents whose rows, a few numbers each, make one partition of the result
+FEWER = 4
 #: windows of an item that are handed on at a time
 PART = 20_000
 #: A-Z to a-z; a word is a run of 0-9, a-z and what is beyond ASCII
@@ -145,7 +147,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, length: int, id_col: str, text_
 
     kind = texts.schema["doc"].dataType.simpleString()
     names = ["doc", "mark", "n_words", "shingle", "pos", "before", "around"]
-    seen = materialize(texts.mapInArrow(look, f"doc {kind}, mark long, n_words long, shingle long, pos long, before int, around binary"), "seen")
+    seen = keep(texts.mapInArrow(look, f"doc {kind}, mark long, n_words long, shingle long, pos long, before int, around binary"))
     both = seen.where("shingle is not null").join(F.broadcast(prefix) if bytes_prefix <= BROADCAST_BYTES else prefix, "shingle").where("before >= j")
     same = F.expr("array_join(slice(split(cast(around as string), ' '), before - j + 1, n), ' ') = cast(w as string)")
     hits = materialize(both.where(same).select("doc", "mark", (F.col("pos") - F.col("j")).alias("start"), F.col("n").cast("long").alias("n"), "w").distinct(), "hits")
@@ -178,6 +180,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENG
     rows, found = _hits(docs, benchmark, length, id_col, text_col, item_col, item_text_col)
     bound = found.agg(F.coalesce(F.sum(F.expr("64 + 16 * size(hits) + 32 * size(items)")), F.lit(0))).first()[0]
     found = found.withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
+    rows = rows.coalesce(max(rows.rdd.getNumPartitions() // FEWER, docs.sparkSession.sparkContext.defaultParallelism))
     joined = rows.join(F.broadcast(found) if bound <= BROADCAST_BYTES else found, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
     none = [F.lit(0).cast("long"), *(F.array().cast(found.schema[c].dataType) for c in ("hits", "items"))]
     return joined.select(F.col("doc").alias(id_col), "mark", "n_words", *(F.coalesce(c, x).alias(c) for c, x in zip(("n_hit", "hits", "items"), none, strict=True)))
