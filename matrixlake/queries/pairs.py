@@ -21,12 +21,17 @@ def _keys(df: DataFrame, *more: str) -> DataFrame:
     return df.select("source_group", "target_group", *more)
 
 
+def _small(df: DataFrame, rank: str) -> DataFrame:
+    """Ranks are long, since groups have no bound; their SQL casts to int, and so do these; larger ones are an error in both."""
+    return df.withColumn(rank, F.col(rank).cast("int"))
+
+
 def groups_first_seen(spark, d) -> DataFrame:
     return _groups(spark, d).table.withColumnRenamed("year", "yr")
 
 
 def group_members(spark, d) -> DataFrame:
-    return _groups(spark, d).members()
+    return _small(_groups(spark, d).members(), "k")
 
 
 def pair_cross_filtered(spark, d) -> DataFrame:
@@ -183,7 +188,7 @@ def runs_draw(spark, d) -> DataFrame:
 
 def epoch_cover_source(spark, d) -> DataFrame:
     g = _groups(spark, d)
-    return S.epoch_chunks(g, g.table.where("status = 'F'").select("group"), 64, 7, 1)
+    return _small(S.epoch_chunks(g, g.table.where("status = 'F'").select("group"), 64, 7, 1), "ord")
 
 
 def epoch_drop_last(spark, d) -> DataFrame:
@@ -192,7 +197,7 @@ def epoch_drop_last(spark, d) -> DataFrame:
 
 
 def epoch_bundles(spark, d) -> DataFrame:
-    return _sampler(spark, d, n_source=50).epoch(1, 7)
+    return _small(_sampler(spark, d, n_source=50).epoch(1, 7), "ord")
 
 
 def epoch_rows_single(spark, d) -> DataFrame:
@@ -220,7 +225,7 @@ def cells_batches(spark, d) -> DataFrame:
 
 
 def cells_same_group(spark, d) -> DataFrame:
-    return S.cell_batches(_groups(spark, d), 64, 2, 5, same_group=True).select("batch", "ord", "row")
+    return _small(S.cell_batches(_groups(spark, d), 64, 2, 5, same_group=True).select("batch", "ord", "row"), "ord")
 
 
 def write_order_blocks(spark, d) -> DataFrame:
